@@ -35,6 +35,10 @@ class Splitter:
     """Pre-tokens of a text as the tokenizer file gives them, and pieces of a pre-token."""
 
     def __init__(self, path: str):
+        import os
+
+        # Threads of the library's own would each keep memory in every worker.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
@@ -73,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFr
             for x in b.column(0):
                 if x.is_valid:
                     seen.update(s.counts(x.as_py())[0])
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre", "n"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre", "n"])
@@ -81,7 +85,8 @@ def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFr
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Splitter(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.pieces(b.column(0).to_pylist()), pa.int64())], ["pre", "n", "pieces"])
+            n = [x for i in range(0, len(b), 1000) for x in s.pieces(b.column(0)[i : i + 1000].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["pre", "n", "pieces"])
 
     seen = docs.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     table = cut(seen.mapInArrow(pieces, "pre string, n long, pieces long"))
@@ -105,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFr
                     else:
                         held += n * times
                 out.append((key, doc, f"\0{key}", 0, int(off[k + 1] - off[k]), held))
-                if len(out) > 100_000:
+                if len(out) > 20_000:
                     yield arrow(out)
                     out = []
             yield arrow(out)
