@@ -14,7 +14,7 @@ in one class, none left out; links of both give the components.
 
 Defined results: null, empty and blank texts have an empty set and no links; a text with fewer
 words than a shingle has its whole sequence as its only shingle; rows with equal sets are linked;
-rows that repeat are rows of their own. Shingles are identified by 48 bits and more, sets by 64 bits and their size.
+rows that repeat are rows of their own. Shingles are identified by 40 bits and their block's number, sets by 64 bits and their size.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from loomwork.session import cut
 
 #: Longest extension of a prefix, and what verifying one shingle costs against one posting.
 MOST = 24
+#: Bytes of a shingle's hash in the blocks, beside the block's own number.
+BYTES = 5
 VERIFY = 1 / 16
 
 
@@ -69,12 +71,12 @@ def with_signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def packed(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return np.pad(six, ((0, 0), (0, 2))).view(U).reshape(-1)
+    some = np.frombuffer(b, np.uint8).reshape(-1, BYTES)
+    return np.pad(some, ((0, 0), (0, 8 - BYTES))).view(U).reshape(-1)
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -82,8 +84,8 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Sets that may have partners: sig, n, ell, prefix, first (length of the prefix of l = 1), tokens (those shared, sorted, as bytes)."""
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Sets that may have partners: sig, n, ell, prefix, first (length of the prefix of l = 1), held (shingles that others have too), mass (mean log of their counts), tokens (those shared, sorted, as bytes)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -100,7 +102,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 h, row = h[keep], row[keep]
                 part = (h % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                h, row, part = h[order] // U(parts), row[order], part[order]
+                h, row, part = h[order] // U(parts) & U((1 << 8 * BYTES) - 1), row[order], part[order]
                 at = np.searchsorted(part, np.arange(parts + 1))
                 cols: list[list] = [[] for _ in range(5)]
                 for p in range(parts):
@@ -148,20 +150,21 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         held = np.diff(np.r_[first, len(sig)])
         need = -(-num * size[first] // den)
-        cols: list[list] = [[] for _ in range(6)]
+        mass = np.add.reduceat(np.log(df), first) if len(first) else held
+        cols: list[list] = [[] for _ in range(8)]
         for i in np.flatnonzero(held >= need):
             own, t = slice(first[i], first[i] + held[i]), int(need[i])
             start = int(held[i]) - t + 1
             ells = np.arange(1, min(MOST, t) + 1)
             postings = np.cumsum(df[own] - 1)[start - 1 + ells - 1]
             ell = int(ells[np.argmin(postings + postings / ells * (held[i] * VERIFY))])
-            for c, v in zip(cols, (sig[first[i]].view(np.int64), size[first[i]], ell, tok[own][: start + ell - 1].view(np.int64), start, np.sort(tok[own]).tobytes()), strict=True):
+            for c, v in zip(cols, (sig[first[i]].view(np.int64), size[first[i]], ell, tok[own][: start + ell - 1].view(np.int64), start, held[i], mass[i] / size[first[i]], np.sort(tok[own]).tobytes()), strict=True):
                 c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], names=["sig", "n", "ell", "prefix", "first", "tokens"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["sig", "n", "ell", "prefix", "first", "held", "mass", "tokens"])
 
     blobs = docs.select("text").mapInArrow(scatter, "part int, shingles binary, sigs binary, sizes binary, counts binary")
     shared = blobs.groupBy("part").applyInArrow(count, "to int, shingles binary, dfs binary, sigs binary, sizes binary, counts binary")
-    return cut(shared.groupBy("to").applyInArrow(prefixes, "sig long, n long, ell int, prefix array<long>, first int, tokens binary"))
+    return cut(shared.groupBy("to").applyInArrow(prefixes, "sig long, n long, ell int, prefix array<long>, first int, held long, mass double, tokens binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -181,14 +184,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Enough links between sets to connect all that chains of links connect: columns a, b."""
-    postings = sets.select("sig", "n", "ell", "first", F.posexplode("prefix").alias("pos", "tok"))
-    postings = postings.select("tok", "sig", "n", "ell", F.greatest(F.lit(1), F.col("pos") - F.col("first") + 2).alias("level"))
-    shared = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    postings = sets.select("sig", "n", "ell", "held", "mass", "first", F.posexplode("prefix").alias("pos", "tok"))
+    postings = postings.withColumn("level", F.greatest(F.lit(1), F.col("pos") - F.col("first") + 2)).drop("first")
+    shared = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("others")).where("others > 1")
     postings = cut(postings.join(shared.select("tok"), "tok"))
     found = None
-    for seed in (1, 2):
-        place = F.struct(F.xxhash64(F.lit(seed), "sig").alias("h"), F.col("sig").alias("leader"))
-        leaders = postings.groupBy("tok").agg(F.min(place)["leader"].alias("leader"))
+    # In a large group the set whose shingles are the most common links with most others; it leads first.
+    for order in (-F.col("mass"), F.xxhash64(F.lit(1), "sig")):
+        leaders = postings.groupBy("tok").agg(F.min(F.struct(order.alias("h"), F.col("sig").alias("leader")))["leader"].alias("leader"))
         votes = postings.join(leaders, "tok").where("sig <> leader").groupBy("sig", "leader").agg(F.count(F.lit(1)).alias("shared"))
         best = votes.groupBy("sig").agg(F.max(F.struct("shared", "leader"))["leader"].alias("leader"))
         pairs = best.select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b"))
@@ -198,9 +201,11 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     placed = postings.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     placed = placed.join(mixed, "tok")
-    x, y = (placed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "ell", "level", "root")]) for s in "xy")
-    near = (F.col("sig_x") < F.col("sig_y")) & (F.col("root_x") != F.col("root_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y"))
+    x, y = (placed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "ell", "level", "root", "held", "pos")]) for s in "xy")
     ell = F.least("ell_x", "ell_y")
+    # The most that two sets can share, given where in both a common shingle stands among the shared ones.
+    most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("held_x") - F.col("pos_x") - 1, F.col("held_y") - F.col("pos_y") - 1)
+    near = (F.col("sig_x") < F.col("sig_y")) & (F.col("root_x") != F.col("root_y")) & ((num + den) * most >= num * (F.col("n_x") + F.col("n_y")))
     pairs = x.join(y, "tok").where(near & (F.greatest("level_x", "level_y") <= ell))
     pairs = pairs.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b"), ell.alias("ell")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= ell").select("a", "b")
     return tied.union(verified(pairs, sets, num, den).select("a", "b"))
