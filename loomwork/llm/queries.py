@@ -1,6 +1,16 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from loomwork.llm import chat, lm, mixing, near, token_counts
+from loomwork.llm import chat, decontaminate, lm, mixing, near, personal, token_counts, toxicity
 
-QUERIES = {"op1_mix_sources": mixing.op1, "op2_join_near_texts": near.op2, "op4_format_chats": chat.op4, "op6_score_language": lm.op6, "op9_count_tokens": token_counts.op9}
+QUERIES = {
+    "op1_mix_sources": mixing.op1,
+    "op2_join_near_texts": near.op2,
+    "op3_decontaminate": decontaminate.op3,
+    "op4_format_chats": chat.op4,
+    "op5_personal_data": personal.op5,
+    "op6_score_language": lm.op6,
+    "op9_count_tokens": token_counts.op9,
+    "op10_toxicity": toxicity.op10,
+}
+#: The others are not expressible in SQL; tests hold them against brute force.
 SQL = {"op1_mix_sources": mixing.OP1_SQL, "op4_format_chats": chat.OP4_SQL}

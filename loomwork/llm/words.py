@@ -22,6 +22,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: White space and ASCII punctuation.
+LOOSE = _SPACE.copy()
+LOOSE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -66,12 +69,12 @@ def blocks(off: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and its row."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     first = word.copy()
@@ -98,9 +101,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(out ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word."""
-    starts, ends, row = spans(data, off)
+    starts, ends, row = spans(data, off, gaps)
     return hashes(data, starts, ends), row
 
 
