@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, DECAY = 3, 0.75
-SAMPLE = 1500
+ORDER, DECAY = 4, 0.75
+SAMPLE = 1000
 LANDMARKS = 48
 CLOSE = 0.5
 LONGEST = 24
@@ -156,30 +156,53 @@ def texts_kernels(marks: Landmarks, sets: list[set[str]], known: dict[str, np.nd
     return out
 
 
-def parts_of(word: str) -> set[str]:
-    return {word[j : j + n] for n in range(4, 8) for j in range(min(len(word), LONGEST) - n + 1)}
+def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Parts of 4 to 7 characters of every word: a number for each part, where each word's begin, and a place of each number."""
+    chars = codes([w[:LONGEST] for w in words]).astype(np.uint64)
+    word, at, size, value = [], [], [], []
+    for n in range(4, 8):
+        if chars.shape[1] >= n:
+            h = np.zeros((len(words), chars.shape[1] - n + 1), np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x100000001B3) + chars[:, k : k + h.shape[1]] + np.uint64(n)
+            w, a = np.nonzero(chars[:, n - 1 :])
+            word.append(w)
+            at.append(a)
+            size.append(np.full(len(w), n))
+            value.append(h[w, a])
+    if not word:
+        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64), []
+    word, at, size, value = map(np.concatenate, (word, at, size, value))
+    _, first, number = np.unique(value, return_index=True, return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    return number[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(words) + 1)), list(zip(word[first].tolist(), at[first].tolist(), size[first].tolist(), strict=True))
 
 
 def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
     """Pieces whose share among toxic texts most exceeds their share among others, each unlike those before it."""
-    count, cache = [Counter(), Counter()], {}
-    for i, s in enumerate(sets):
-        own: set[str] = set()
-        for w in plain(list(s)):
-            if w not in cache:
-                cache[w] = parts_of(w)
-            own |= cache[w]
-        count[int(toxic[i])].update(own)
+    texts = [[w for w in plain(sorted(s)) if len(w) > 3] for s in sets]
+    words = sorted({w for t in texts for w in t})
+    index = {w: k for k, w in enumerate(words)}
+    number, start, places = all_parts(words)
+    count = np.zeros((2, len(places)), np.int64)
+    for t, bad in zip(texts, toxic, strict=True):
+        if t:
+            own = np.unique(np.concatenate([number[start[k] : start[k + 1]] for k in map(index.__getitem__, t)]))
+            count[int(bad), own] += 1
     n0, n1 = max(1, int((~toxic).sum())), max(1, int(toxic.sum()))
-    z = {}
-    for p, c in count[1].items():
-        if c >= 5 and c / n1 > 3 * count[0][p] / n0:
-            both = (c + count[0][p]) / (n0 + n1)
-            z[p] = (c / n1 - count[0][p] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    both = count.sum(0) / (n0 + n1)
+    z = (count[1] / n1 - count[0] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    good = np.flatnonzero((z >= 5) & (count[1] >= 5) & (count[1] / n1 > 3 * count[0] / n0))
+    names = {int(k): words[places[k][0]][places[k][1] : places[k][1] + places[k][2]] for k in good}
+    is_good = np.zeros(len(places), bool)
+    is_good[good] = True
+    held = {}
+    for k, w in enumerate(words):
+        own = number[start[k] : start[k + 1]]
+        if (hit := own[is_good[own]]).size:
+            held[w] = {names[int(x)] for x in hit}
+    texts = [[w for w in t if w in held] for t in texts]
     # What a piece tells beyond those chosen: words that hold one of them no longer count.
-    wanted = {p for p, v in z.items() if v >= 5}
-    held = {w: own & wanted for w, own in cache.items() if own & wanted}
-    texts = [[w for w in plain(list(s)) if w in held] for s in sets]
     out: list[str] = []
     while len(out) < LANDMARKS and held:
         left = [Counter(), Counter()]
@@ -193,6 +216,8 @@ def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
                 best, top = p, v
         if not best:
             break
+        # The longest piece that nearly all of these texts have tells the most.
+        best = max((q for q in left[1] if best in q and left[1][q] >= 0.85 * left[1][best]), key=lambda q: (len(q), left[1][q], q))
         out.append(best)
         held = {w: own for w, own in held.items() if best not in w}
     return out
