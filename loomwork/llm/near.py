@@ -34,6 +34,8 @@ from loomwork.session import cut
 MOST = 24
 #: Bytes of a shingle's hash in the blocks, beside the block's own number.
 BYTES = 5
+#: Longs of parity bits that a set carries; two sets differ by at least as many shingles as bits.
+LONGS = 8
 VERIFY = 1 / 16
 
 
@@ -79,12 +81,18 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.pad(some, ((0, 0), (0, 8 - BYTES))).view(U).reshape(-1)
 
 
+def parity(tok: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS places, whether an odd number of shingles fall there."""
+    odd = np.bincount((mix(tok ^ U(0x1D8E4E27C47D124F)) % U(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
 
 
 def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Sets that may have partners: sig, n, ell, prefix, first (length of the prefix of l = 1), held (shingles that others have too), mass (mean log of their counts), tokens (those shared, sorted, as bytes)."""
+    """Sets that may have partners: sig, n, ell, prefix, first (length of the prefix of l = 1), held (shingles that others have too), mass (mean log of their counts), bits (parity of the shared ones), tokens (those shared, sorted, as bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +159,20 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         held = np.diff(np.r_[first, len(sig)])
         need = -(-num * size[first] // den)
         mass = np.add.reduceat(np.log(df), first) if len(first) else held
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for i in np.flatnonzero(held >= need):
             own, t = slice(first[i], first[i] + held[i]), int(need[i])
             start = int(held[i]) - t + 1
             ells = np.arange(1, min(MOST, t) + 1)
             postings = np.cumsum(df[own] - 1)[start - 1 + ells - 1]
             ell = int(ells[np.argmin(postings + postings / ells * (held[i] * VERIFY))])
-            for c, v in zip(cols, (sig[first[i]].view(np.int64), size[first[i]], ell, tok[own][: start + ell - 1].view(np.int64), start, held[i], mass[i] / size[first[i]], np.sort(tok[own]).tobytes()), strict=True):
+            for c, v in zip(cols, (sig[first[i]].view(np.int64), size[first[i]], ell, tok[own][: start + ell - 1].view(np.int64), start, held[i], mass[i] / size[first[i]], parity(tok[own]), np.sort(tok[own]).tobytes()), strict=True):
                 c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["sig", "n", "ell", "prefix", "first", "held", "mass", "tokens"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["sig", "n", "ell", "prefix", "first", "held", "mass", "bits", "tokens"])
 
     blobs = docs.select("text").mapInArrow(scatter, "part int, shingles binary, sigs binary, sizes binary, counts binary")
     shared = blobs.groupBy("part").applyInArrow(count, "to int, shingles binary, dfs binary, sigs binary, sizes binary, counts binary")
-    return cut(shared.groupBy("to").applyInArrow(prefixes, "sig long, n long, ell int, prefix array<long>, first int, held long, mass double, tokens binary"))
+    return cut(shared.groupBy("to").applyInArrow(prefixes, "sig long, n long, ell int, prefix array<long>, first int, held long, mass double, bits array<long>, tokens binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,11 +208,13 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     roots = cut(components(tied))
     placed = postings.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    placed = placed.join(mixed, "tok")
-    x, y = (placed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "ell", "level", "root", "held", "pos")]) for s in "xy")
+    placed = placed.join(mixed, "tok").join(sets.select("sig", *[F.col("bits")[k].alias(f"bits{k}") for k in range(LONGS)]), "sig")
+    x, y = (placed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "ell", "level", "root", "held", "pos", *[f"bits{k}" for k in range(LONGS)])]) for s in "xy")
     ell = F.least("ell_x", "ell_y")
     # The most that two sets can share, given where in both a common shingle stands among the shared ones.
     most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("held_x") - F.col("pos_x") - 1, F.col("held_y") - F.col("pos_y") - 1)
+    unlike = sum((F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(LONGS)), F.lit(0))
+    most = F.least(most, (F.col("held_x") + F.col("held_y") - unlike) / 2)
     near = (F.col("sig_x") < F.col("sig_y")) & (F.col("root_x") != F.col("root_y")) & ((num + den) * most >= num * (F.col("n_x") + F.col("n_y")))
     pairs = x.join(y, "tok").where(near & (F.greatest("level_x", "level_y") <= ell))
     pairs = pairs.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b"), ell.alias("ell")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= ell").select("a", "b")
