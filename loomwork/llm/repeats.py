@@ -35,7 +35,7 @@ from loomwork.session import cut
 LEAST = 400
 ANCHOR = 128
 SLICE = 1 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 LARGEST = (2000, 4 << 20)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -82,19 +82,18 @@ def order(sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
     upto = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # distance to the end mark
     for k in range(7):
         packed = (packed << 9) | np.where(upto >= k, wide[k : k + n], 0)
-    tie = np.where(upto < 7, np.searchsorted(ends, np.arange(n)) + 1, 0)
-    sa = np.lexsort((tie, packed))
-    p, t = packed[sa], tie[sa]
-    new = np.r_[True, (p[1:] != p[:-1]) | (t[1:] != t[:-1])]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.cumsum(new) - 1
-    step = 7
+    # Strings up to an end mark stand in the order of the marks, which a stable sort keeps.
+    sa = np.argsort(packed, kind="stable")
+    p, closed = packed[sa], (upto < 7)[sa]
+    new = np.r_[True, (p[1:] != p[:-1]) | closed[1:]]
+    rank, todo, step = np.empty(n, np.int64), np.arange(n), 7
     while True:
-        # Only suffixes that still tie are sorted again; a rank is the place of its group's first.
-        heads = np.flatnonzero(new)
-        rank[sa] = np.repeat(heads, np.diff(np.r_[heads, n]))
-        alone = new & np.r_[new[1:], True]
-        todo = np.flatnonzero(~alone)
+        # Only suffixes that still tie are ranked and sorted again; a rank is the place of its group's first.
+        first = np.flatnonzero(new[todo])
+        rank[sa[todo]] = np.repeat(todo[first], np.diff(np.r_[first, len(todo)]))
+        tied = ~new[todo]
+        tied[:-1] |= tied[1:]
+        todo = todo[tied]
         if not len(todo):
             return sa
         s = sa[todo]
@@ -116,7 +115,7 @@ def unparted(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
     n = len(sym)
     bwt = sym[sa - 1]  # sa 0 wraps to the last end mark
     marks = bwt == 0
-    by = np.argsort(bwt, kind="stable")
+    by = np.argsort(bwt.astype(np.int16), kind="stable")
     lf = np.empty(n, np.int64)
     lf[by] = np.arange(n)
     # End marks are symbols of their own: each is alone, and extends nothing.
@@ -239,8 +238,9 @@ def spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, largest: tu
     held = cut(docs.mapInArrow(cuts, CUT).join(often, "m", "left_semi"))
     kinds = held.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "start", "n")).alias("rep"))
     kinds = cut(kinds.select("m", "c", "copies", "rep.*"))
-    groups = kinds.groupBy("m").agg(F.count("*").alias("k"), F.sum(F.col("n") + (least - 1)).alias("size"), F.max("copies").alias("most"))
-    groups = groups.where((F.col("k") > 1) | (F.col("most") == 1)).select("m", ((F.col("k") > 1) & ((F.col("k") > largest[0]) | (F.col("size") > largest[1]))).cast("long").alias("large"))
+    groups = kinds.groupBy("m").agg(F.count("*").alias("k"), F.sum(F.col("n") + (least - 1)).alias("size"), F.min("copies").alias("fewest"))
+    # Pieces with copies are settled; only those that stand once ask something.
+    groups = groups.where(F.col("fewest") == 1).select("m", ((F.col("k") > 1) & ((F.col("k") > largest[0]) | (F.col("size") > largest[1]))).cast("long").alias("large"))
     asked = kinds.join(groups, "m").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "m", "copies", "large")).alias("asked"))
     BYTES = f"m long, large long, copies long, {KEY}, start long, n long, piece binary"
 
