@@ -1,7 +1,7 @@
 import pytest
 
 from compare import compare
-from loomwork.plans import catalogue
+from loomwork.plans import registry as catalogue
 
 SF = "/root/testdata/sf0.001"
 
