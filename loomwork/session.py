@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
         # Only where the cluster names no shared folder, as in tests.
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwork-"))
     return df.checkpoint()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver forget the plans, broadcasts and shuffles of finished rounds, which loops of jobs pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
