@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.words import U, blocks, mix, raw, shingles, tokens
 from loomwork.operators.graph import components
-from loomwork.session import cut
+from loomwork.session import cut, tidy
 
 #: Longest extension of a prefix, and what verifying one shingle costs against one posting.
 MOST = 24
@@ -206,6 +206,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         found = pairs if found is None else found.union(pairs).distinct()
     tied = cut(verified(found, sets, num, den).select("a", "b"))
     roots = cut(components(tied))
+    tidy(sets.sparkSession)
     placed = postings.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     placed = placed.join(mixed, "tok").join(sets.select("sig", *[F.col("bits")[k].alias(f"bits{k}") for k in range(LONGS)]), "sig")
