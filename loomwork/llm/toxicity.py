@@ -156,8 +156,8 @@ def texts_kernels(marks: Landmarks, sets: list[set[str]], known: dict[str, np.nd
     return out
 
 
-def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Parts of 4 to 7 characters of every word: a number for each part, where each word's begin, and a place of each number."""
+def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of 4 to 7 characters of every word: a number for each part, where each word's begin, and a place (word, begin, length) of each number."""
     chars = codes([w[:LONGEST] for w in words]).astype(np.uint64)
     word, at, size, value = [], [], [], []
     for n in range(4, 8):
@@ -166,16 +166,19 @@ def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int,
             for k in range(n):
                 h = h * np.uint64(0x100000001B3) + chars[:, k : k + h.shape[1]] + np.uint64(n)
             w, a = np.nonzero(chars[:, n - 1 :])
-            word.append(w)
-            at.append(a)
-            size.append(np.full(len(w), n))
+            word.append(w.astype(np.int32))
+            at.append(a.astype(np.int32))
+            size.append(np.full(len(w), n, np.int32))
             value.append(h[w, a])
     if not word:
-        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64), []
+        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64), np.zeros((0, 3), np.int32)
     word, at, size, value = map(np.concatenate, (word, at, size, value))
     _, first, number = np.unique(value, return_index=True, return_inverse=True)
+    del value
+    places = np.stack([x[first] for x in (word, at, size)], axis=1)
+    del at, size
     order = np.argsort(word, kind="stable")
-    return number[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(words) + 1)), list(zip(word[first].tolist(), at[first].tolist(), size[first].tolist(), strict=True))
+    return number[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(words) + 1)), places
 
 
 def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
@@ -193,7 +196,7 @@ def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
     both = count.sum(0) / (n0 + n1)
     z = (count[1] / n1 - count[0] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
     good = np.flatnonzero((z >= 5) & (count[1] >= 5) & (count[1] / n1 > 3 * count[0] / n0))
-    names = {int(k): words[places[k][0]][places[k][1] : places[k][1] + places[k][2]] for k in good}
+    names = {int(k): words[w][a : a + n] for k, (w, a, n) in zip(good, places[good].tolist(), strict=True)}
     is_good = np.zeros(len(places), bool)
     is_good[good] = True
     held = {}
