@@ -16,6 +16,7 @@ without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -283,8 +284,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(sorted(words_of(x.as_py() or ""))) for x in b.column(1)], pa.string()), b.column(2)], ["doc_id", "words", "toxic"])
 
-    got = taken.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(sets, "doc_id long, words string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    return Model([set(w.as_py().split(" ")) - {""} for w in got["words"]], got["toxic"].to_numpy() == 1)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, schema).sort_by([("doc_id", "ascending"), ("words", "ascending")])
+        model = Model([set(w.as_py().split(" ")) - {""} for w in got["words"]], got["toxic"].to_numpy() == 1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    # The bounded sample is one task's work on an executor; the driver gets landmarks and weights, some kilobytes.
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("toxic", pa.int32())])
+    rows = taken.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(sets, "doc_id long, words string, toxic int")
+    fitted = rows.repartition(1).mapInArrow(fit, "model binary").head()
+    return pickle.loads(fitted["model"]) if fitted else Model([], np.zeros(0, bool))
 
 
 def add_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
