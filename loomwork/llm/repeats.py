@@ -3,7 +3,7 @@
 Every window of ``least`` bytes is held by the smallest hash of the ``ANCHOR``-byte strings in it
 (its anchor); runs of windows with one anchor are pieces. Equal windows have equal anchors, so
 
-1. anchors that occur once are dropped (their windows can't repeat),
+1. anchors whose string starts once in all texts are dropped (their windows can't repeat),
 2. pieces of equal bytes count as one with a number; with two or more, all their windows repeat,
 3. the distinct pieces of an anchor meet in one block, and blocks of whole groups of about
    ``BLOCK`` bytes get a suffix array and its transform. Intervals of suffixes with a common
@@ -50,8 +50,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, SLICE + 4096), _powers(pow(_BASE, -1, 1 << 64), SLICE + 4096)
 
 
-def least_hashes(data: np.ndarray, least: int, anchor: int) -> np.ndarray:
-    """The smallest anchor hash of every window of ``data`` (at most SLICE windows)."""
+def anchor_hashes(data: np.ndarray, anchor: int) -> np.ndarray:
+    """The hash of every string of ``anchor`` bytes in ``data`` (at most SLICE windows)."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _UP[:n], out=sums[1:])
@@ -59,21 +59,50 @@ def least_hashes(data: np.ndarray, least: int, anchor: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    width, span = least - anchor + 1, 1
+    return h
+
+
+def least_of(h: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours."""
+    span = 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
         span *= 2
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
+def slices(text: bytes, least: int, anchor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slice by slice: its place, its hashes, the anchor of every window and where pieces begin."""
+    for at in range(0, len(text) - least + 1, SLICE):
+        h = anchor_hashes(np.frombuffer(text, np.uint8, min(SLICE + least - 1, len(text) - at), at), anchor)
+        m = least_of(h, least - anchor + 1)
+        yield at, h, m, np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+
+
 def pieces(text: bytes, least: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Starts, numbers of windows and anchors (int64), slice by slice."""
-    for at in range(0, len(text) - least + 1, SLICE):
-        m = least_hashes(np.frombuffer(text, np.uint8, min(SLICE + least - 1, len(text) - at), at), least, anchor)
-        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    for at, _, m, first in slices(text, least, anchor):
         yield at + first, np.diff(np.r_[first, len(m)]), m[first].view(np.int64)
 
 
+def occurrences(text: bytes, least: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every piece its anchor (int64) and how often the anchor's string starts in it, slice by slice."""
+    width = least - anchor + 1
+    span = 1 << ((width + 1) // 2).bit_length() - 1
+    for _, h, m, first in slices(text, least, anchor):
+        # Every window around a place reaches span places to its left or its right, so an anchor is the least of one of these.
+        near = least_of(h, span)
+        may = np.zeros(len(h), bool)
+        may[: len(near)] = h[: len(near)] == near
+        may[span - 1 :] |= h[span - 1 :] == near
+        may = np.flatnonzero(may)
+        lo, hi = np.searchsorted(may, first), np.searchsorted(may, np.r_[first[1:], len(m)] + width - 1)
+        ends = np.cumsum(hi - lo)
+        at = np.arange(ends[-1]) + np.repeat(lo - np.r_[0, ends[:-1]], hi - lo)
+        same = h[may[at]] == np.repeat(m[first], hi - lo)
+        yield m[first].view(np.int64), np.add.reduceat(same, ends - (hi - lo), dtype=np.int64)
+
+
 def order(sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array of ``sym`` (bytes + 1; each end mark, 0, is its own symbol, smaller the earlier it stands)."""
     n = len(sym)
@@ -206,13 +235,12 @@ def _unpacked(size: int, z: bytes) -> bytes:
 
 def spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, largest: tuple[int, int] = LARGEST) -> DataFrame:
     """doc_id, h, start, n: runs of starts of repeated windows; ``docs`` has doc_id long, text binary."""
-    width = least - anchor + 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, out, held = "m long, n long", [], 0
         for b in batches:
             for x in b.column(1):
-                for _, n, m in pieces(x.as_py() or b"", least, anchor):
+                for m, n in occurrences(x.as_py() or b"", least, anchor):
                     out.append((m, n))
                     held += len(m)
                     if held > 50_000:
@@ -234,7 +262,7 @@ def spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, largest: tu
         yield _columns(CUT, out)
 
     CUT = f"{KEY}, start long, n long, m long, c long"
-    often = docs.mapInArrow(anchors, "m long, n long").groupBy("m").agg(F.count("*").alias("k"), F.max("n").alias("n")).where((F.col("k") > 1) | (F.col("n") > width)).select("m")
+    often = docs.mapInArrow(anchors, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
     held = cut(docs.mapInArrow(cuts, CUT).join(often, "m", "left_semi"))
     kinds = held.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "start", "n")).alias("rep"))
     kinds = cut(kinds.select("m", "c", "copies", "rep.*"))

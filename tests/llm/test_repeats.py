@@ -50,6 +50,26 @@ def test_all_sizes_of_groups_match_brute_force(spark):
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_short_periodic_runs_match_brute_force(spark):
+    rnd = random.Random(5)
+    line = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, line(300) + (line(p) * 34)[:n] + line(300)) for i, (p, n) in enumerate((p, n) for p in (20, 60, 130, 200) for n in (401, 440, 480, 530, 600, 670))]
+    want = brute([t.encode() for _, t in rows], 400)
+    assert sum(w[1] > 0 for w in want) > 10
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, 128).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(i, *w) for (i, _), w in zip(rows, want, strict=True)]
+
+
+def test_occurrences_count_starts():
+    rnd = random.Random(6)
+    for least, anchor in ((9, 9), (10, 9), (40, 9), (41, 9), (73, 9)):
+        t = bytes(rnd.choice(b"abc") for _ in range(200)) + b"abcdefgabcdeabcd" * 12 + bytes(rnd.choice(b"abc") for _ in range(200))
+        got = [x for m, n in repeats.occurrences(t, least, anchor) for x in zip(m.tolist(), n.tolist(), strict=True)]
+        h = repeats.anchor_hashes(repeats.np.frombuffer(t, "u1"), anchor).view("i8").tolist()
+        want = [(m, h[s : s + n + least - anchor].count(m)) for a, b, c in repeats.pieces(t, least, anchor) for s, n, m in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
+        assert got == want and (least < 40 or max(n for _, n in got) > 1)
+
+
 def test_slices_join(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 64)
     t = texts()[1].encode() * 3
