@@ -159,6 +159,28 @@ def test_decontamination_finds_edited_passages(spark, empty):
     assert decontaminate.aligned(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_decontamination_finds_what_aligning_everything_finds(spark):
+    rnd = random.Random(13)
+    word = lambda: rnd.choice("abcdefgh") + rnd.choice("aeiou") * rnd.choice((1, 1, 2))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 9, 15, 15, 24, 40))]
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(0, 60)))) for i in range(40)]
+    for i in range(160):
+        # Edited copies; item 7 in more texts than a rare seed may have been in.
+        w = items[7 if i % 3 == 0 else rnd.randrange(len(items))][1].split()
+        for _ in range(rnd.randint(0, 1 + len(w) // 3)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randint(0, 1)] = ["zz"] * rnd.randint(0, 2) or w[k : k + 1]
+        rows.append((100 + i, " ".join([word() for _ in range(rnd.randint(0, 20))] + w + [word() for _ in range(rnd.randint(0, 20))])))
+    w = items[8][1].split()
+    rows += [(1000 + i, " ".join("zz" if k in (3, 8, 12) else x for k, x in enumerate(w)) + f" y{i}") for i in range(30)]
+    rows.append((2000, " ".join("zz" if k in (3, 7, 11) else x for k, x in enumerate(w))))
+    texts, benchmark = decontaminate.item_words([t for _, t in rows]), decontaminate.item_words([t for _, t in items])
+    want = {(d, i): decontaminate.align(b, t) / (2 * len(b)) for (d, _), t in zip(rows, texts, strict=True) for (i, _), b in zip(items, benchmark, strict=True)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.aligned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: s for k, s in want.items() if s >= decontaminate.THRESHOLD}
+    assert all((1000 + i, 8) in got for i in range(30)) and (2000, 8) in got
+
+
 def test_kernel_is_that_of_all_subsequences():
     from itertools import combinations
 
