@@ -230,3 +230,55 @@ def test_pipeline_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
     assert set(docs.columns) < set(out.columns) and out.count() > 0
+
+
+def test_pipeline_matches_brute_force_of_each_stage(spark, tmp_path):
+    import hashlib
+    from itertools import combinations
+
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("acdfhknopstvwxyz") for _ in range(rnd.randint(3, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    items = [(i, " ".join(prose(n))) for i, n in enumerate((3, 15, 30))]
+    texts = [prose(40) for _ in range(200)]
+    for w in texts[::4]:
+        w[rnd.randrange(40)] = "grumble"
+    for k in (1, 5, 9):
+        texts += [texts[k], [*texts[k][:-1], "zz"], [*texts[k][:18], "zz", "zz", *texts[k][20:]]]
+    for k in range(12):
+        w = items[k % 3][1].split()
+        w[len(w) // 2] = "zz" if k % 2 else w[len(w) // 2]
+        texts.append([*prose(12), *w, *prose(12)])
+    rows = [(i, " ".join(w) + (f" mail {'ab'[i % 2]}.c@example.org now" if i % 10 == 3 else ""), "en", "s", 0) for i, w in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {r[0]: r[1] for r in rows if "grumble" not in r[1].split()}
+    assert len(left) == len(rows) - 50
+    runs = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in left.items()}
+    root = {i: i for i in left}
+    for a, b in combinations(sorted(left), 2):
+        if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    assert sum(i != r for i, r in root.items()) == 6
+    left = {i: t for i, t in left.items() if root[i] == i}
+    at = decontaminate.item_words([*left.values()])
+    benchmark = decontaminate.item_words([t for _, t in items])
+    leaks = {i for i, t in zip(left, at, strict=True) for b in benchmark if decontaminate.align(b, t) >= decontaminate.THRESHOLD * 2 * len(b)}
+    assert len(leaks) == 10
+    left = {i: re.sub(r"[ab]\.c@example\.org", "[EMAIL]", t) for i, t in left.items() if i not in leaks}
+    assert sum("[EMAIL]" in t for t in left.values()) > 10
+
+    md5 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    band = lambda n: (n + 4).bit_length() * 4 + ((n + 4) >> ((n + 4).bit_length() - 3)) % 4
+    order = sorted(left, key=lambda i: (band(n := len(left[i].split())), md5(f"7/{i}") % 64, n, md5(f"7/{i}"), i))
+    # One source: its target is the budget, one and a half times its size.
+    offset, want = md5("7/+s") / 2**32, []
+    for k, i in enumerate(order):
+        want += [(i, left[i])] * (math.floor(1.5 * (k + 1) + offset) - math.floor(1.5 * k + offset))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
