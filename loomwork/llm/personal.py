@@ -1,27 +1,40 @@
 """Personal data: base patterns as seeds, and what their contexts lead to.
 
-Seeds are emails, IP addresses, card and phone numbers by fixed rules. The words before a seed are a
-lexical pattern; so are those before every other word that has the look of an identifier. Patterns
-and instances form a graph that Spark scores in rounds: a pattern is worth the mean of its
-instances' scores (smoothed), an instance what its patterns make likely (seeds stay at 1).
-Instances that are no seeds but follow a pattern of high confidence become spans of kind ``ctx``.
+Seeds are emails, IP addresses, card and phone numbers by fixed rules, and keys: hexadecimal strings of
+``KEY`` characters and more with digits and letters. Tokens are runs of bytes other than white space,
+quotes, brackets and ``= : , ; |``. A lexical pattern is the token before an instance, or the two
+before it, in lower case, with what stands between it and the instance (``=`` or ``:``, a quote).
+
+1. Seeds induce patterns; those of at least ``SUPPORT`` unlike seeds are candidates.
+2. One pass gathers everything that follows a candidate, identifier or not, as a graph of patterns and
+   instances. An instance is told apart by its token and the two after it, so copies count once.
+3. Spark scores the graph in rounds: a pattern is worth the mean of its instances' scores (smoothed, so that
+   patterns of few instances are worth less), an instance what its token's patterns make likely (noisy or; seeds stay at 1).
+4. Tokens that score ``CONFIDENT`` are seeds of the next round, whose contexts induce further patterns, until
+   a round brings none, at most ``ROUNDS`` times.
+
+What follows a pattern of high confidence becomes a span of kind ``ctx`` unless it meets a base span.
+Patterns are broadcast in blocks of about ``LIMIT``, each with a pass of its own.
 
 Defined results: null text is empty; spans are in code points, end exclusive; base spans of one
-kind don't overlap, those of unlike kinds may; repeated rows are counted as rows and each get
-their spans; an empty table gives an empty result.
+kind don't overlap, those of unlike kinds may; repeated rows each get their spans; ids and other columns are
+not read; an empty table gives an empty result. Tokens are told apart by 64 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from loomwork.llm.words import raw, row_keys
+from loomwork.llm.words import U, blocks, hashes, mix, raw, spans
 from loomwork.session import cut
 
 KINDS = ("email", "ip", "card", "phone", "ctx")
@@ -29,15 +42,22 @@ ROUNDS = 3
 CONFIDENT = 0.7
 SUPPORT = 3
 SMOOTH = 1.0
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+KEY = 32
+LIMIT = 1 << 20
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A run of digits that fails from its start fails from within too, so runs are tried from their starts alone.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
+_KEY = re.compile(rb"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_QUOTE = np.zeros(256, bool)
+_QUOTE[list(b"\"'`")] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"=:")] = True
+_GAPS = _QUOTE | _SIGN
+_GAPS[[32, *range(9, 14), *b"()[]{}<>,;|"]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -73,87 +93,223 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def before(text: str, at: int) -> str:
-    """The two words before a place, in lower case."""
-    return " ".join(w.lower() for w in _WORD.findall(text[max(0, at - 60) : at])[-2:])
+class Tokens:
+    """Tokens of a block of texts: their places, hashes, patterns (0: none) and what tells instances apart."""
 
+    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+        self.starts, self.ends, self.row = spans(data, off, _GAPS)
+        n = len(self.starts)
+        self.hash = h = hashes(data, self.starts, self.ends)
+        self.one, self.two = np.zeros(n, U), np.zeros(n, U)
+        self.instance = h.copy()
+        if n < 2:
+            return
+        same = self.row[1:] == self.row[:-1]
+        between = np.zeros(n - 1, U)
+        for k, kind in enumerate((_SIGN, _QUOTE)):
+            upto = np.r_[0, np.cumsum(kind[data], dtype=np.int64)]
+            between |= (upto[self.starts[1:]] > upto[self.ends[:-1]]).astype(U) << U(k)
+        one = mix(h[:-1] * U(31) + between + U(1))
+        self.one[1:] = np.where(same, one, U(0))
+        self.two[2:] = np.where(same[1:] & same[:-1], mix(one[1:] ^ mix(h[:-2] + U(2))), U(0))
+        after = np.where(same, h[1:], U(0))
+        self.instance[:-1] ^= mix(after + U(3))
+        self.instance[:-2] ^= np.where(same[:-1], mix(after[1:] + U(5)), U(0))
 
-#: What has the look of an identifier: at least six characters with a digit and nothing but letters, digits and joints.
-_LIKE = re.compile(r"(?<![^\s(\[\"'=:])(?=[A-Za-z_.@/+-]{0,40}[0-9])[A-Za-z0-9_.@/+-]{6,64}(?=[\s)\]\"',.;:]|\Z)")
 
-
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, bool, int, int]]:
-    """(pattern, instance, seed, start, end) of seeds and of what looks like one and is not in any."""
-    out = [(before(text, s), text[s:e], True, s, e) for s, _, e in spans]
-    if _DIGIT.search(text):
-        for m in _LIKE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in spans):
-                out.append((before(text, m.start()), m[0], False, m.start(), m.end()))
-    return [x for x in out if x[0]]
+def _texts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of whole texts: number of the first row, bytes, starts."""
+    data, off = raw(b.column(at))
+    for i, j in blocks(off):
+        yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def scored(found: DataFrame) -> DataFrame:
-    """Patterns of high confidence. found: pattern, instance, seed."""
-    edges = cut(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    score = F.col("seed").cast("double")
-    current = edges.withColumn("score", score)
-    for k in range(ROUNDS):
-        patterns = current.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTH)).alias("confidence"), F.count(F.lit(1)).alias("support"))
-        if k == ROUNDS - 1:
-            return patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "confidence")
-        weighed = edges.join(patterns, "pattern")
-        instances = weighed.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))).alias("likely"))
-        current = cut(edges.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("likely")).alias("score")))
+EDGE = "pattern long, token long, instance long"
 
 
-SCHEMA = "doc_id long, row_key long, base boolean, pattern string, instance string, seed boolean, start long, end long, spans array<struct<start:long,kind:int,end:long>>, base_sha256 string"
+def _edges(parts: list[tuple[np.ndarray, Tokens]]) -> pa.RecordBatch:
+    """Unlike (pattern, token, instance) of chosen tokens; parts: numbers of tokens, with their block."""
+    cols = [[np.r_[t.one[at], t.two[at]], np.r_[t.hash[at], t.hash[at]], np.r_[t.instance[at], t.instance[at]]] for at, t in parts]
+    rows = np.concatenate([np.stack(c, 1) for c in cols]) if cols else np.zeros((0, 3), U)
+    rows = np.unique(rows[rows[:, 0] != 0], axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["pattern", "token", "instance"])
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, spans (array of start, kind, end), base_sha256 of every row."""
+def seeds(docs: DataFrame) -> DataFrame:
+    """Edges of seeds: base spans and keys."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = raw(b.column(1))
-            keys = row_keys(b.column(0), data, off, 0, len(b))
-            rows: list[tuple] = []
-            for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                text, key = text.as_py() or "", int(keys[k])
-                spans = base_spans(text)
-                named = ",".join(f"{KINDS[kind]}:{s}:{e}" for s, kind, e in spans)
-                rows.append((doc, key, True, f"\0{key}", None, False, None, None, [{"start": s, "kind": kind, "end": e} for s, kind, e in spans], hashlib.sha256(named.encode()).hexdigest()))
-                rows += [(doc, key, False, p, i, seed, s, e, None, None) for p, i, seed, s, e in contexts(text, spans)]
-            cols = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
-
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, SCHEMA))
-    good = scored(rows.where(~F.col("base")).select("pattern", "instance", "seed"))
-    found = rows.where(~F.col("base") & ~F.col("seed")).join(good, "pattern").select("doc_id", "row_key", F.struct("start", F.lit(4).alias("kind"), "end").alias("span"))
-    more = found.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("more"))
-    base = rows.where("base").select("doc_id", "row_key", "spans", "base_sha256")
-    joined = base.join(more.withColumnsRenamed({"doc_id": "__id", "row_key": "__key"}), (F.col("row_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select("doc_id", "row_key", F.sort_array(F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))).alias("spans"), "base_sha256")
+            parts = []
+            for i, data, off in _texts(b, 0):
+                t = Tokens(data, off)
+                at = [k for k in np.flatnonzero(t.ends - t.starts >= KEY) if _KEY.fullmatch(data[t.starts[k] : t.ends[k]].tobytes())]
+                for r in range(len(off) - 1):
+                    text = data[off[r] : off[r + 1]].tobytes().decode()
+                    for s, _, _ in base_spans(text):
+                        at.append(int(np.searchsorted(t.starts, off[r] + len(text[:s].encode()), "right")) - 1)
+                parts.append((np.unique(np.array([k for k in at if k >= 0], np.int64)), t))
+            yield _edges(parts)
+
+    return docs.select("text").mapInArrow(find, EDGE).distinct()
+
+
+def _chosen(docs: DataFrame, values: DataFrame, choose) -> DataFrame:
+    """Both edges of the tokens for which ``choose`` (Tokens, sorted values) holds, over all values in blocks."""
+    out = None
+    for part in in_blocks(values):
+
+        def find(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            wanted = part.value
+            for b in batches:
+                parts = []
+                for _, data, off in _texts(b, 0):
+                    t = Tokens(data, off)
+                    parts.append((np.flatnonzero(choose(t, wanted)), t))
+                yield _edges(parts)
+
+        found = docs.select("text").mapInArrow(find, EDGE)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def in_blocks(values: DataFrame, limit: int | None = None) -> list:
+    """Broadcast sorted arrays of the longs of ``values`` (one column, unlike), about ``limit`` each; at least one."""
+    limit = limit or LIMIT
+    sc, name = values.sparkSession.sparkContext, values.columns[0]
+    n = max(1, -(-values.count() // limit))
+    out = []
+    for k in range(n):
+        part = np.array([r[0] for r in values.where(F.pmod(F.col(name), F.lit(n)) == k).toLocalIterator()], np.int64)
+        out.append(sc.broadcast(np.sort(part.view(U))))
+    return out
+
+
+def member(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(x), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)] == x
+
+
+def confident_patterns(docs: DataFrame) -> DataFrame:
+    """pattern, confidence, support."""
+    known = cut(seeds(docs).withColumn("seed", F.lit(True)))
+    patterns = None
+    for _ in range(ROUNDS):
+        support = known.groupBy("pattern").agg(F.count_distinct("instance").alias("support")).where(F.col("support") >= SUPPORT)
+        support = cut(support)
+        if support.isEmpty():
+            return support.select("pattern", F.lit(0.0).alias("confidence"), "support")
+        following = _chosen(docs, support.select("pattern"), lambda t, w: member(t.one, w) | member(t.two, w))
+        edges = following.distinct().join(support.select("pattern"), "pattern", "left_semi")
+        edges = cut(edges.join(known.select("pattern", "token", "instance", "seed"), ["pattern", "token", "instance"], "left").withColumn("seed", F.coalesce("seed", F.lit(False))))
+        patterns, tokens = scored(edges)
+        patterns = cut(patterns.join(support, "pattern").where(F.col("confidence") >= CONFIDENT))
+        # Tokens that confident patterns lead to, and that were not seeds yet.
+        new = cut(tokens.where(F.col("likely") >= CONFIDENT).select("token").join(known.select("token"), "token", "left_anti").distinct())
+        if new.isEmpty():
+            return patterns
+        more = _chosen(docs, new, lambda t, w: member(t.hash, w)).distinct().withColumn("seed", F.lit(True))
+        known = cut(known.unionByName(more).distinct())
+    return patterns
+
+
+def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) and (token, likely) after two exchanges of scores. edges: pattern, token, instance, seed."""
+    score = F.col("seed").cast("double")
+
+    def worth(e: DataFrame) -> DataFrame:
+        return e.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTH)).alias("confidence"))
+
+    def likely(p: DataFrame) -> DataFrame:
+        by = edges.select("pattern", "token").distinct().join(p, "pattern")
+        return by.groupBy("token").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))).alias("likely"))
+
+    tokens = likely(worth(edges.withColumn("score", score)))
+    again = edges.join(tokens, "token").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("likely")))
+    patterns = worth(again)
+    # A token is only as likely as the patterns that are sure themselves.
+    return patterns, likely(patterns.where(F.col("confidence") >= CONFIDENT))
+
+
+_SPAN = StructType().add("start", LongType()).add("kind", IntegerType()).add("end", LongType())
+_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+
+def free_name(names: list[str], wish: str) -> str:
+    while wish in names:
+        wish = "_" + wish
+    return wish
+
+
+def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """``docs`` with all spans of every row's text, sorted by start, kind and end; a column of that name is replaced."""
+    docs = docs.select(*[c for c in docs.columns if c != name])
+    text_at, held = docs.columns.index("text"), len(docs.columns)
+    schema = StructType([*docs.schema.fields]).add(name, ArrayType(_SPAN))
+    parts = in_blocks(cut(confident_patterns(docs).select("pattern")))
+
+    def step(part, first: bool, last: bool):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                more = [set() for _ in range(len(b))] if first else [{(x["start"], 4, x["end"]) for x in r} for r in b.column(held).to_pylist()]
+                for i, data, off in _texts(b, text_at):
+                    t = Tokens(data, off)
+                    hit = np.flatnonzero(member(t.one, part.value) | member(t.two, part.value))
+                    for at in np.split(hit, np.flatnonzero(np.diff(t.row[hit])) + 1) if len(hit) else ():
+                        r = int(t.row[at[0]])
+                        whole = data[off[r] : off[r + 1]]
+                        place = np.r_[0, np.cumsum((whole & 0xC0) != 0x80)]
+                        for s, e in zip(t.starts[at] - off[r], t.ends[at] - off[r], strict=True):
+                            left = whole[s:e].tobytes().decode().rstrip(".!?#$%&*")
+                            if any(map(str.isalnum, left)):
+                                more[i + r].add((int(place[s]), 4, int(place[s]) + len(left)))
+                rows = []
+                for text, extra in zip(b.column(text_at), more, strict=True):
+                    found = sorted(extra)
+                    if last:
+                        found = all_spans(text.as_py() or "", found)
+                    rows.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+                yield pa.RecordBatch.from_arrays([*b.columns[:held], pa.array(rows, _ARROW)], schema.names)
+
+        return find
+
+    for k, part in enumerate(parts):
+        docs = docs.mapInArrow(step(part, k == 0, k == len(parts) - 1), schema)
+    return docs
+
+
+def all_spans(text: str, extra: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans, and of ``extra`` what meets none of them."""
+    base = base_spans(text)
+    if not extra:
+        return base
+    reach: list[int] = []
+    for _, _, e in base:
+        reach.append(max(e, reach[-1]) if reach else e)
+    starts = [s for s, _, _ in base]
+    out = list(base)
+    for s, k, e in extra:
+        # Of the base spans that begin before the end, the one that reaches farthest.
+        j = bisect_right(starts, e - 1)
+        if not j or reach[j - 1] <= s:
+            out.append((s, k, e))
+    return sorted(out)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; columns as they were."""
     names, schema = docs.columns, docs.schema
-    id_at, text_at = names.index("doc_id"), names.index("text")
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = raw(b.column(text_at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(row_keys(b.column(id_at), data, off, 0, len(b)))], [*names, "__key"])
+    text_at = names.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, spans in zip(b.column(text_at), b.column(len(names)).to_pylist(), strict=True):
+            for text, found in zip(b.column(text_at), b.column(len(names)).to_pylist(), strict=True):
                 text = text.as_py()
-                if text and spans:
+                if text and found:
                     parts, done = [], 0
-                    for x in spans:
+                    for x in found:
                         if x["end"] > done:
                             if x["start"] >= done:
                                 parts += [text[done : x["start"]], f"[{KINDS[x['kind']].upper()}]"]
@@ -162,17 +318,19 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(out, b.column(text_at).type), *b.columns[text_at + 1 : len(names)]], names)
 
-    from pyspark.sql.types import LongType, StructType
+    return with_spans(docs, free_name(names, "spans")).mapInArrow(mask, schema)
 
-    found = spans_of(docs.select("doc_id", "text")).where(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("__spans"))
-    keyed = docs.mapInArrow(key, StructType([*schema.fields]).add("__key", LongType()))
-    return keyed.join(found.withColumnRenamed("row_key", "__key"), "__key", "left").select(*names, "__spans").mapInArrow(mask, schema)
 
+def number(kind: int) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
 
-def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = spans_of(docs)
+
+def listed(found: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
-    number = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select("doc_id", *number, "base_sha256", text.alias("spans"))
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def op5(spark, sf_dir: str) -> DataFrame:
+    out = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"] < 4)
+    return out.select("doc_id", *[number(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), number(4).alias("n_ctx"))

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import re
@@ -96,32 +97,75 @@ def test_chats_read_back(spark):
     assert not out[2].valid and "".join(s.text for s in out[1].segments) == out[1].formatted
 
 
-def test_personal_data_by_brute_force(docs, rows):
-    got = {r.doc_id: r.spans for r in personal.spans_of(docs).collect()}
-    assert len(got) == len({r[0] for r in rows})
-    text = dict((r[0], r[1]) for r in rows)[97]
-    found = [(personal.KINDS[s.kind], text[s.start : s.end]) for s in got[97]]
-    assert found == [("email", "a.b+c@ex-1.org.uk"), ("ip", "10.0.0.25"), ("phone", "+1 (555) 010-9999"), ("card", "4539 1488 0343 6467")]
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and personal.luhn(d)]
+    return sorted(out + [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 10 <= sum(c in "0123456789" for c in m[0]) <= 15])
+
+
+def personal_rows():
     rnd = random.Random(2)
-    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
-    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    odd = lambda n: "".join(rnd.choice("a@@..1234567890+- (x,é") for _ in range(n))
+    out = [(i, odd(rnd.randint(0, 300))) for i in range(200)]
+    for i in range(200, 240):
+        out.append((i, f"é {odd(40)} a.b{i}@c.org at 10.0.{i}.1 or +1 (555) 010-{1000 + i}, 4539 1488 0343 6467; key = \"{rnd.randrange(16**8):08x}{'a1' * 16}\" end"))
+    out += [(300, 'key = "short-XY-12"'), (301, 'key = "10.0.0.1"'), (302, "the key is 12345678"), (303, None), (304, ""), (300, 'key = "short-XY-12"'), (None, 'x key = "short-XY-12", y')]
+    return [*out, (305, "long " * 40000 + 'key = "q-9" end')]
+
+
+def test_personal_data_query_by_brute_force(spark, tmp_path, monkeypatch):
+    rows = personal_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    unseen = {300: [(7, 4, 18)], None: [(9, 4, 20)], 305: [(200007, 4, 200010)]}
+    want = []
+    for i, t in rows:
+        b = base(t or "")
+        keys = [(m.start(), 4, m.end()) for m in re.finditer(r"(?<=key = \")[0-9a-f]{40}", t or "")] + unseen.get(i, [])
+        listed = lambda x: ",".join(f"{personal.KINDS[k]}:{s}:{e}" for s, k, e in sorted(x))
+        want.append((i, *(sum(k == j for _, k, _ in b) for j in range(4)), hashlib.sha256(listed(b).encode()).hexdigest(), listed(b + keys), len(keys)))
+    got = sorted(map(tuple, personal.op5(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(want, key=str)
+    # The same over patterns in several blocks.
+    monkeypatch.setattr(personal, "LIMIT", 1)
+    assert sorted(map(tuple, personal.op5(spark, str(tmp_path)).collect()), key=str) == got
+
+
+def test_base_spans_by_brute_force():
+    rnd = random.Random(3)
     for _ in range(3000):
         t = "".join(rnd.choice("a@@..1234567890+- (x,") for _ in range(rnd.randint(1, 60)))
-        want = [(m.start(), 0, m.end()) for m in email.finditer(t)]
-        want += [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
-        want += [(m.start(), 2, m.end()) for m in card.finditer(t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and personal.luhn(d)]
-        want += [(m.start(), 3, m.end()) for m in phone.finditer(t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
-        assert personal.base_spans(t) == sorted(want), t
+        assert personal.base_spans(t) == base(t), t
 
 
 def test_contexts_find_identifiers_that_no_rule_has(spark):
     rows = [(i, f"words then account number +1 (555) 010-{1000 + i} and more") for i in range(8)] + [(99, "words then account number ZK99-4410X and more")]
-    got = {r.doc_id: r.spans for r in personal.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [rows[-1][1][s.start : s.end] for s in got[99]] == ["ZK99-4410X"]
-    red = personal.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all("[PHONE]" in r.text or "[CTX]" in r.text for r in red)
+    rows += [(200 + i, f"{w} then another word") for i, w in enumerate(["thing", "word", "account"])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    got = {r.doc_id: r.spans for r in personal.with_spans(docs).collect()}
+    assert [rows[8][1][s.start : s.end] for s in got[99]] == ["ZK99-4410X"] and not any(got[200 + i] for i in range(3))
+    red = personal.redact(docs)
+    assert red.columns == docs.columns
+    text = {r.doc_id: r.text for r in red.collect()}
+    assert text[99] == "words then account number [CTX] and more" and all(text[i] == "words then account number [PHONE] and more" for i in range(8))
+
+
+def test_contexts_spread_through_what_they_found(spark):
+    # Seeds stand after "mail"; what else stands there does after "login" too, which has no seed.
+    names = [f"user-{i}x" for i in range(6)]
+    rows = [f"mail: a{i}@b.org ." for i in range(30)] + [f"mail: {n} ." for n in names] + [f"login: {n} !" for n in names] + ["login: stranger-7 !"]
+    got = {r.doc_id: r.spans for r in personal.with_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [rows[42][s.start : s.end] for s in got[42]] == ["stranger-7"]
+
+
+def test_personal_data_of_an_empty_table(empty):
+    assert personal.with_spans(empty).collect() == [] and personal.redact(empty).collect() == []
 
 
 def test_token_counts_are_the_library_s(docs, rows, empty):
@@ -233,7 +277,6 @@ def test_pipeline_stages_keep_columns(spark):
 
 
 def test_pipeline_matches_brute_force_of_each_stage(spark, tmp_path):
-    import hashlib
     from itertools import combinations
 
     import corpus_pipeline
