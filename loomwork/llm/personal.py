@@ -5,7 +5,8 @@ Seeds are emails, IP addresses, card and phone numbers by fixed rules, and keys:
 quotes, brackets and ``= : , ; |``. A lexical pattern is the token before an instance, or the two
 before it, in lower case, with what stands between it and the instance (``=`` or ``:``, a quote).
 
-1. Seeds induce patterns; those of at least ``SUPPORT`` unlike seeds are candidates.
+1. Seeds induce patterns. Candidates are those of at least ``SUPPORT`` unlike seeds, of whose places, all counted,
+   at least the share ``SHARE`` are followed by a seed (which ordinary words are not).
 2. One pass gathers everything that follows a candidate, identifier or not, as a graph of patterns and
    instances. An instance is told apart by its token and the two after it, so copies count once.
 3. Spark scores the graph in rounds: a pattern is worth the mean of its instances' scores (smoothed, so that
@@ -41,6 +42,7 @@ KINDS = ("email", "ip", "card", "phone", "ctx")
 ROUNDS = 3
 CONFIDENT = 0.7
 SUPPORT = 3
+SHARE = 0.05
 SMOOTH = 1.0
 KEY = 32
 LIMIT = 1 << 20
@@ -101,7 +103,6 @@ class Tokens:
         n = len(self.starts)
         self.hash = h = hashes(data, self.starts, self.ends)
         self.one, self.two = np.zeros(n, U), np.zeros(n, U)
-        self.instance = h.copy()
         if n < 2:
             return
         same = self.row[1:] == self.row[:-1]
@@ -112,9 +113,14 @@ class Tokens:
         one = mix(h[:-1] * U(31) + between + U(1))
         self.one[1:] = np.where(same, one, U(0))
         self.two[2:] = np.where(same[1:] & same[:-1], mix(one[1:] ^ mix(h[:-2] + U(2))), U(0))
-        after = np.where(same, h[1:], U(0))
-        self.instance[:-1] ^= mix(after + U(3))
-        self.instance[:-2] ^= np.where(same[:-1], mix(after[1:] + U(5)), U(0))
+
+    def instances(self, at: np.ndarray) -> np.ndarray:
+        """What tells chosen tokens apart: themselves and the two after them."""
+        out, n = self.hash[at], len(self.hash)
+        for k in (1, 2):
+            to = np.minimum(at + k, n - 1)
+            out = mix(out + np.where((to == at + k) & (self.row[to] == self.row[at]), self.hash[to], U(0)) + U(k))
+        return out
 
 
 def _texts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -124,15 +130,20 @@ def _texts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-EDGE = "pattern long, token long, instance long"
+EDGE = "pattern long, token long, instance long, n long"
 
 
 def _edges(parts: list[tuple[np.ndarray, Tokens]]) -> pa.RecordBatch:
-    """Unlike (pattern, token, instance) of chosen tokens; parts: numbers of tokens, with their block."""
-    cols = [[np.r_[t.one[at], t.two[at]], np.r_[t.hash[at], t.hash[at]], np.r_[t.instance[at], t.instance[at]]] for at, t in parts]
-    rows = np.concatenate([np.stack(c, 1) for c in cols]) if cols else np.zeros((0, 3), U)
-    rows = np.unique(rows[rows[:, 0] != 0], axis=0).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["pattern", "token", "instance"])
+    """Unlike (pattern, token, instance) of chosen tokens and how often they stand; parts: numbers of tokens, with their block."""
+    cols = [np.stack([np.r_[t.one[at], t.two[at]], np.tile(t.hash[at], 2), np.tile(t.instances(at), 2)], 1) for at, t in parts]
+    rows = np.concatenate(cols) if cols else np.zeros((0, 3), U)
+    rows, n = np.unique(rows[rows[:, 0] != 0], axis=0, return_counts=True)
+    rows = rows.view(np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], ["pattern", "token", "instance", "n"])
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("pattern", "token", "instance").agg(F.sum("n").alias("n"))
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -151,28 +162,44 @@ def seeds(docs: DataFrame) -> DataFrame:
                 parts.append((np.unique(np.array([k for k in at if k >= 0], np.int64)), t))
             yield _edges(parts)
 
-    return docs.select("text").mapInArrow(find, EDGE).distinct()
+    return merged(docs.select("text").mapInArrow(find, EDGE))
 
 
-def _chosen(docs: DataFrame, values: DataFrame, choose) -> DataFrame:
-    """Both edges of the tokens for which ``choose`` (Tokens, sorted values) holds, over all values in blocks."""
+def over_blocks(docs: DataFrame, values: DataFrame, schema: str, gather) -> DataFrame:
+    """What ``gather`` ([(Tokens, sorted values)]) makes of each batch of texts, over all values in blocks."""
     out = None
     for part in in_blocks(values):
 
         def find(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            wanted = part.value
             for b in batches:
-                parts = []
-                for _, data, off in _texts(b, 0):
-                    t = Tokens(data, off)
-                    parts.append((np.flatnonzero(choose(t, wanted)), t))
-                yield _edges(parts)
+                yield gather([(Tokens(data, off), part.value) for _, data, off in _texts(b, 0)])
 
-        found = docs.select("text").mapInArrow(find, EDGE)
+        found = docs.select("text").mapInArrow(find, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def following(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Edges of all that follows a pattern; both patterns of such a token lead to it, the other to be sorted out."""
+    return merged(over_blocks(docs, patterns, EDGE, lambda parts: _edges([(np.flatnonzero(member(t.one, w) | member(t.two, w)), t) for t, w in parts])))
+
+
+def leading(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Edges of all places of some tokens."""
+    return merged(over_blocks(docs, tokens, EDGE, lambda parts: _edges([(np.flatnonzero(member(t.hash, w)), t) for t, w in parts])))
+
+
+def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, places: how often each stands."""
+
+    def tally(parts: list[tuple[Tokens, np.ndarray]]) -> pa.RecordBatch:
+        found = [x[member(x, w)] for t, w in parts for x in (t.one, t.two)]
+        x, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+    return over_blocks(docs, patterns, "pattern long, n long", tally).groupBy("pattern").agg(F.sum("n").alias("places"))
+
+
 def in_blocks(values: DataFrame, limit: int | None = None) -> list:
     """Broadcast sorted arrays of the longs of ``values`` (one column, unlike), about ``limit`` each; at least one."""
     limit = limit or LIMIT
@@ -193,24 +220,20 @@ def member(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def confident_patterns(docs: DataFrame) -> DataFrame:
     """pattern, confidence, support."""
-    known = cut(seeds(docs).withColumn("seed", F.lit(True)))
-    patterns = None
+    known, patterns = cut(seeds(docs)), None
     for _ in range(ROUNDS):
-        support = known.groupBy("pattern").agg(F.count_distinct("instance").alias("support")).where(F.col("support") >= SUPPORT)
-        support = cut(support)
-        if support.isEmpty():
-            return support.select("pattern", F.lit(0.0).alias("confidence"), "support")
-        following = _chosen(docs, support.select("pattern"), lambda t, w: member(t.one, w) | member(t.two, w))
-        edges = following.distinct().join(support.select("pattern"), "pattern", "left_semi")
-        edges = cut(edges.join(known.select("pattern", "token", "instance", "seed"), ["pattern", "token", "instance"], "left").withColumn("seed", F.coalesce("seed", F.lit(False))))
+        support = cut(known.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("held")).where(F.col("support") >= SUPPORT))
+        support = cut(support.join(places(docs, support.select("pattern")), "pattern").where(F.col("held") >= SHARE * F.col("places")).select("pattern", "support"))
+        edges = following(docs, support.select("pattern")).join(support.select("pattern"), "pattern", "left_semi")
+        is_seed = known.select("pattern", "token", "instance", F.lit(True).alias("seed"))
+        edges = cut(edges.join(is_seed, ["pattern", "token", "instance"], "left").withColumn("seed", F.coalesce("seed", F.lit(False))))
         patterns, tokens = scored(edges)
         patterns = cut(patterns.join(support, "pattern").where(F.col("confidence") >= CONFIDENT))
         # Tokens that confident patterns lead to, and that were not seeds yet.
-        new = cut(tokens.where(F.col("likely") >= CONFIDENT).select("token").join(known.select("token"), "token", "left_anti").distinct())
+        new = cut(tokens.where(F.col("likely") >= CONFIDENT).select("token").join(known.select("token"), "token", "left_anti"))
         if new.isEmpty():
             return patterns
-        more = _chosen(docs, new, lambda t, w: member(t.hash, w)).distinct().withColumn("seed", F.lit(True))
-        known = cut(known.unionByName(more).distinct())
+        known = cut(merged(known.unionByName(leading(docs, new))))
     return patterns
 
 
