@@ -179,16 +179,39 @@ def test_token_counts_are_the_library_s(docs, rows, empty):
     assert token_counts.count_tokens(empty, path).collect() == []
 
 
-def test_language_model_base_is_exact(docs, rows):
+def test_language_model_matches_counts_read_as_levels(docs, rows, empty):
     train = docs.where(lm.remainder(docs.doc_id, 5) != 1)
-    got = sorted(lm.score(docs, train, bits=1 << 20, hot_keys=5).collect(), key=lambda r: r.doc_id)
+    by_id = lambda df: sorted(df.collect(), key=lambda r: r.doc_id)
+    got = by_id(lm.score(docs, train, hot_keys=5))
     tokens = [(i, WORD.findall(lower(t)) + [None]) for i, t, *_ in sorted(rows, key=lambda r: r[0])]
-    c = collections.Counter(w for i, ws in tokens if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    kept = [ws for i, ws in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for ws in kept for w in ws)
+    c2 = collections.Counter(x for ws in kept for x in zip([None, *ws], ws))
     n, v = sum(c.values()), len(c)
+    read = lambda x: float(lm.counts(lm.np.searchsorted(lm.LEVELS, [x], "right"))[0]) if x else 0.0
+    off = []
     for r, (i, ws) in zip(got, tokens, strict=True):
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert r.score < 0
+        p1 = lambda w: (read(c[w]) + 0.5) / (n + 0.5 * (v + 1))
+        want = sum(math.log10(min(1.0, (read(c2[a, w]) + lm.MU * p1(w)) / (read(c[a]) + lm.MU))) for a, w in zip([None, *ws], ws))
+        off += [abs(r.score - want) / len(ws)] if len(ws) < 1000 else []
+        # Texts that were trained on have no unseen pairs, so a probe can err in the level only.
+        assert zlib.crc32(str(i).encode()) % 5 == 1 or abs(r.score - want) <= 0.1 * len(ws)
+    assert sum(off) / len(off) < 0.08
+    # Blocks of the filter, and shards of other sizes, ask the same.
+    again = by_id(lm.score(docs, train, bits=1 << 12, hot_keys=5))
+    assert [r.score for r in again] == [r.score for r in got]
+    assert all(abs(a.score - b.score) <= 0.3 * a.n_tokens and a.base_score == b.base_score for a, b in zip(got, by_id(lm.score(docs, train, hot_keys=5, shard=1 << 12))))
+    none = by_id(lm.score(docs, empty))
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in none) and lm.score(empty, docs).collect() == []
+
+
+def test_language_model_of_odd_rows(spark):
+    rows = [(None, "a b", 1), (0, "a b", 1), (3, "a b", 1), (3, "a b", 1), (4, None, 1)]
+    got = sorted(lm.score(df := spark.createDataFrame(rows, "doc_id long, text string, score int"), df).collect(), key=str)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1 and sum(r.n_tokens == 1 for r in got) == 1
 
 
 def test_decontamination_finds_edited_passages(spark, empty):
