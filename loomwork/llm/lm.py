@@ -31,6 +31,8 @@ from loomwork.session import cut
 
 BITS = 1 << 30
 SHARD = 8 << 20
+#: Bytes of text scored at once.
+STEP = 1 << 20
 PROBES = 4
 LOAD = 0.5
 MU = 4.0
@@ -206,9 +208,9 @@ def score(docs: DataFrame, training: DataFrame, bits: int = BITS, hot_keys: int
     names = [f.split()[0] for f in schema.split(", ")]
 
     def parsed(b: pa.RecordBatch) -> Iterator[tuple]:
-        """Range of rows, their bytes, token hashes and rows, pair keys, and levels found before."""
+        """Range of rows, their bytes, token hashes and rows, and levels found before."""
         data, off = raw(b.column(1))
-        for lo, hi in blocks(off):
+        for lo, hi in blocks(off, STEP):
             h, row = with_ends(*tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), hi - lo)
             before = b.column(2).slice(lo, hi - lo)
             held = np.zeros((2, len(h)), np.uint8) if before.null_count else np.concatenate([np.zeros((2, 0), np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8).reshape(2, -1) for x in before)], axis=1)
