@@ -1,17 +1,23 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-The kernel of a word and a landmark counts the subsequences of ``ORDER`` characters that they share,
+The kernel of order n of a word and a landmark counts the subsequences of n characters that they share,
 each weighed by DECAY to the power of the length that it spans in either, so inserted characters lower
-it and don't end it. Words are taken in lower case with all but letters removed, and runs of
+it and don't end it. As a share of the landmark's own (at most 1), it is averaged over all orders from ``ORDER``
+to the landmark's length. Words are taken in lower case with all but letters removed, and runs of
 single characters are joined first. A text's kernel with a landmark is that of its closest word; over the
 landmarks' own kernel matrix (Nyström) it becomes the features of a linear SVM.
 
-Landmarks are pieces of 4 to 7 characters that set toxic sample texts apart. The classifier is fitted
-on at most ``SAMPLE`` labelled rows of each class, chosen by hash; scoring covers whole texts.
+Landmarks are pieces of words that set toxic sample texts apart. The classifier is fitted
+on at most ``SAMPLE`` labelled rows of each class, chosen by hash, and on a variant of each toxic one, in which one of its
+insults stands alone with a character inserted; scoring covers whole texts.
+
+Kernels are computed where they can reach ``CLOSE``, below which they count as 0: an order above the longest common
+subsequence adds nothing and any other at most its share, so that length is a bound. Words over ``LONGEST`` characters are taken as
+overlapping parts, in training as in scoring; spans of over half of that are far under ``CLOSE``.
 
 Defined results: null and empty texts get the score of a text with no close word; repeated rows each get
 a row; labels that are null are not learnt from; an empty table gives an empty result, and
-without labels of both classes every score is 0.
+without labels of both classes every score is 0; a column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, DECAY = 4, 0.75
-SAMPLE = 1000
+ORDER, DECAY = 4, 0.65
+SAMPLE = 1500
 LANDMARKS = 48
-CLOSE = 0.5
+#: Most characters of a landmark.
+WIDEST = 12
+CLOSE = 0.6
 LONGEST = 24
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -67,13 +75,22 @@ def codes(strings: list[str]) -> np.ndarray:
     return out
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Kernels of all rows of a with all rows of b (character codes, 0 beyond the end)."""
+def kernels(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Kernels of all rows of a with all rows of b (character codes, 0 beyond the end), for each order from ORDER to ``most``."""
     n, m, la, lb = len(a), len(b), a.shape[1], b.shape[1]
     same = [[(a[:, None, i] == b[None, :, j]) & (a[:, None, i] > 0) for j in range(lb)] for i in range(la)]
     # prefix[i][j]: sums over shared subsequences of the length so far that end by (i, j), decayed to there.
     prefix = [[np.ones((n, m), np.float32) for _ in range(lb + 1)] for _ in range(la + 1)]
-    for _ in range(ORDER - 1):
+    out = []
+    for order in range(1, (most or ORDER) + 1):
+        if order >= ORDER:
+            total = np.zeros((n, m), np.float32)
+            for i in range(la):
+                for j in range(lb):
+                    total += DECAY * DECAY * same[i][j] * prefix[i][j]
+            out.append(total)
+            if not total.any():
+                break
         new = [[np.zeros((n, m), np.float32) for _ in range(lb + 1)] for _ in range(la + 1)]
         for i in range(1, la + 1):
             along = np.zeros((n, m), np.float32)
@@ -81,63 +98,61 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 along = DECAY * along + DECAY * DECAY * same[i - 1][j - 1] * prefix[i - 1][j - 1]
                 new[i][j] = DECAY * new[i - 1][j] + along
         prefix = new
-    total = np.zeros((n, m), np.float32)
-    for i in range(la):
-        for j in range(lb):
-            total += DECAY * DECAY * same[i][j] * prefix[i][j]
-    return total
-
-
-def letters(chars: np.ndarray) -> np.ndarray:
-    """The characters of each row as bits of 64."""
-    bits = np.where(chars > 0, np.uint64(1) << (chars * 37 % 61).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1, initial=np.uint64(0))
-
-
-def joints(chars: np.ndarray, reach: int) -> np.ndarray:
-    """Pairs of characters at most ``reach`` places apart, as bits of 64."""
-    out = np.zeros(len(chars), np.uint64)
-    for d in range(1, min(reach, chars.shape[1] - 1) + 1):
-        a, b = chars[:, :-d].astype(np.int64), chars[:, d:].astype(np.int64)
-        bits = np.where(b > 0, np.uint64(1) << ((a * 7919 + b * 104729) % 64).astype(np.uint64), np.uint64(0))
-        out |= np.bitwise_or.reduce(bits, axis=1)
-    return out
+    return np.stack(out + [np.zeros((n, m), np.float32)] * ((most or ORDER) - ORDER + 1 - len(out)))
 
 
 class Landmarks:
     def __init__(self, strings: list[str]):
         self.strings, self.codes = strings, codes(strings)
-        self.bits, self.pairs = letters(self.codes), joints(self.codes, 1)
-        own = kernel(self.codes, self.codes)
-        self.scale = np.sqrt(np.diag(own))
-        self.matrix = own / np.outer(self.scale, self.scale)
+        self.sizes = np.array([len(x) for x in strings])
+        self.orders = int(self.sizes.max()) - ORDER + 1
+        self.own = np.diagonal(kernels(self.codes, self.codes, int(self.sizes.max())), axis1=1, axis2=2).copy()
+        # Shortest common subsequence with which the mean over orders can reach CLOSE.
+        self.need = ORDER - 1 + np.ceil(CLOSE * (self.sizes - ORDER + 1) - 1e-9).astype(int)
+        # Where each letter stands in each landmark, as bits; letter 0 is any other.
+        self.alphabet = np.unique(self.codes[self.codes > 0])
+        self.where = np.zeros((len(self.alphabet) + 1, len(strings)), np.uint64)
+        for k, row in enumerate(self.codes):
+            for j, c in enumerate(row[: self.sizes[k]]):
+                self.where[np.searchsorted(self.alphabet, c) + 1, k] |= np.uint64(1) << np.uint64(j)
+        own = self.values(self.codes)
+        self.matrix = (own + own.T) / 2
         value, vector = np.linalg.eigh(self.matrix.astype(float))
         keep = value > 1e-6 * value.max()
         self.whiten = vector[:, keep] / np.sqrt(value[keep])
 
+    def values(self, chars: np.ndarray) -> np.ndarray:
+        """Mean over a landmark's orders of the kernel as a share of its own, each at most 1."""
+        share = np.minimum(kernels(chars, self.codes, int(self.sizes.max())) / np.where(self.own > 0, self.own, np.inf)[:, None, :], 1.0)
+        return share.sum(0) / (self.sizes - ORDER + 1)
+
+    def common(self, chars: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each row with each landmark, by bits."""
+        at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
+        letter = np.where(self.alphabet[at] == chars, at + 1, 0)
+        left = np.full((len(chars), len(self.strings)), np.uint64((1 << 64) - 1))
+        for i in range(chars.shape[1]):
+            hit = left & self.where[letter[:, i]]
+            left = (left + hit) | (left - hit)
+        full = (np.uint64(1) << self.sizes.astype(np.uint64)) - np.uint64(1)
+        return np.bitwise_count(~left & full)
+
     def close(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which words come close to a landmark, and their kernels, at most 1."""
         held = [(k, p) for k, w in enumerate(plain(words)) if len(w) >= ORDER for p in pieces(w)]
-        if not held:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.strings)), np.float32)
-        rows, values = [], []
+        rows, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.strings)), np.float32)]
         held.sort(key=lambda x: len(x[1]))
         for i in range(0, len(held), 4000):
             part = held[i : i + 4000]
             chars = codes([p for _, p in part])
-            bits, pairs = letters(chars), joints(chars, 3)
-            # A word that lacks two letters of a landmark, or most pairs of neighbours, is not close to it.
-            enough = np.zeros(len(part), bool)
-            for m, q in zip(self.bits, self.pairs, strict=True):
-                enough |= (np.bitwise_count(bits & m) >= int(np.bitwise_count(m)) - 1) & (2 * np.bitwise_count(pairs & q).astype(int) > int(np.bitwise_count(q)))
-            at = np.flatnonzero(enough)
+            at = np.flatnonzero((self.common(chars) >= self.need).any(1))
             if len(at):
-                v = kernel(chars[at], self.codes) / self.scale**2
+                v = self.values(chars[at])
                 near = np.flatnonzero(v.max(1) >= CLOSE)
-                v = np.minimum(v[near], 1.0)
+                v = v[near]
                 rows.append(np.array([part[j][0] for j in at[near]], np.int64))
                 values.append(np.where(v >= CLOSE, v, 0.0))
-        return (np.concatenate(rows), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros((0, len(self.strings)), np.float32))
+        return np.concatenate(rows), np.concatenate(values)
 
 
 def texts_kernels(marks: Landmarks, sets: list[set[str]], known: dict[str, np.ndarray | None]) -> np.ndarray:
@@ -159,7 +174,7 @@ def texts_kernels(marks: Landmarks, sets: list[set[str]], known: dict[str, np.nd
 
 def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parts of 4 to 7 characters of every word: a number for each part, where each word's begin, and a place (word, begin, length) of each number."""
-    chars = codes([w[:LONGEST] for w in words]).astype(np.uint64)
+    chars = codes(words).astype(np.uint64)
     word, at, size, value = [], [], [], []
     for n in range(4, 8):
         if chars.shape[1] >= n:
@@ -184,7 +199,7 @@ def all_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
     """Pieces whose share among toxic texts most exceeds their share among others, each unlike those before it."""
-    texts = [[w for w in plain(sorted(s)) if len(w) > 3] for s in sets]
+    texts = [[p for w in plain(sorted(s)) if len(w) >= ORDER for p in pieces(w)] for s in sets]
     words = sorted({w for t in texts for w in t})
     index = {w: k for k, w in enumerate(words)}
     number, start, places = all_parts(words)
@@ -222,11 +237,37 @@ def choose(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
             break
         # The longest piece that nearly all of these texts have tells the most.
         best = max((q for q in left[1] if best in q and left[1][q] >= 0.85 * left[1][best]), key=lambda q: (len(q), left[1][q], q))
+        best = widened(best, [[w for w in t if best in w] for t, bad in zip(texts, toxic, strict=True) if bad])
         out.append(best)
         held = {w: own for w, own in held.items() if best not in w}
     return out
 
 
+def widened(piece: str, texts: list[list[str]]) -> str:
+    """``piece`` with the letters beside it that nearly all of the texts with it have there, up to WIDEST."""
+    while len(piece) < WIDEST:
+        beside = Counter()
+        have = [t for t in texts if any(piece in w for w in t)]
+        for t in have:
+            beside.update({w[max(0, i - left) : i + len(piece) + 1 - left] for w in t if (i := w.find(piece)) >= 0 for left in (0, 1)} - {piece})
+        best = max(beside, key=lambda q: (beside[q], q), default="")
+        if beside[best] < 0.85 * len(have):
+            break
+        piece = best
+    return piece
+
+
+def variants(x: np.ndarray) -> np.ndarray:
+    """Kernels of texts with one landmark alone and a character inserted, for rows that hold landmarks whole."""
+    out = []
+    for row in x:
+        whole = np.flatnonzero(row >= 1 - 1e-6)
+        if len(whole):
+            out.append(np.zeros_like(row))
+            out[-1][whole[len(out) % len(whole)]] = DECAY
+    return np.stack(out) if out else x[:0]
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Dual coordinate descent for the squared hinge; the last weight is the bias. Classes weigh the same."""
     x = np.c_[x, np.ones(len(x))]
@@ -259,8 +300,10 @@ class Model:
         self.marks = None
         if toxic.any() and not toxic.all() and (strings := choose(sets, toxic)):
             self.marks = Landmarks(strings)
-            x = texts_kernels(self.marks, sets, {}) @ self.marks.whiten
-            y = np.where(toxic, 1.0, -1.0)
+            x = texts_kernels(self.marks, sets, {})
+            more = variants(x[toxic])
+            x = np.r_[x, more] @ self.marks.whiten
+            y = np.r_[np.where(toxic, 1.0, -1.0), np.ones(len(more))]
             self.weights = fit_svm(x, y)
             self.curve = fit_sigmoid(x @ self.weights[:-1] + self.weights[-1], y)
 
@@ -297,9 +340,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def add_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the score of each text."""
+    """``docs`` with the score of each text; a column of that name is replaced."""
     from pyspark.sql.types import DoubleType, StructType
 
+    docs = docs.drop(name)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index("text")
 

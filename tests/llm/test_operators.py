@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from loomwork.llm import chat, decontaminate, lm, mixing, near, personal, token_counts, toxicity
@@ -248,18 +249,33 @@ def test_decontamination_finds_what_aligning_everything_finds(spark):
     assert all((1000 + i, 8) in got for i in range(30)) and (2000, 8) in got
 
 
-def test_kernel_is_that_of_all_subsequences():
+def test_kernels_are_those_of_all_subsequences():
     from itertools import combinations
 
-    def slow(a, b):
-        weigh = lambda s: [("".join(s[i] for i in c), toxicity.DECAY ** (c[-1] - c[0] + 1)) for c in combinations(range(len(s)), toxicity.ORDER)]
+    def slow(a, b, n):
+        weigh = lambda s: [("".join(s[i] for i in c), toxicity.DECAY ** (c[-1] - c[0] + 1)) for c in combinations(range(len(s)), n)]
         return sum(x * y for u, x in weigh(a) for v, y in weigh(b) if u == v)
 
     words = ["idiot", "idxiot", "tidioti", "moron", "abcd"]
-    got = toxicity.kernel(toxicity.codes(words), toxicity.codes(words))
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            assert math.isclose(got[i, j], slow(a, b), rel_tol=1e-4, abs_tol=1e-7)
+    got = toxicity.kernels(toxicity.codes(words), toxicity.codes(words), 7)
+    for k in range(4):
+        for i, a in enumerate(words):
+            for j, b in enumerate(words):
+                assert math.isclose(got[k, i, j], slow(a, b, toxicity.ORDER + k), rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_close_words_are_those_of_all_kernels():
+    rnd = random.Random(6)
+    marks = toxicity.Landmarks(["idiot", "scum", "worthless", "abcabcabc"])
+    words = ["".join(rnd.choice("idotscumwrhleab") for _ in range(rnd.randint(4, 24))) for _ in range(3000)]
+    words += [m[:k] + rnd.choice("xyz") * rnd.randint(0, 2) + m[k:] for m in marks.strings for k in range(len(m))]
+    want = marks.values(toxicity.codes(words))
+    rows, values = marks.close(words)
+    # An order's share is capped at 1, and float32 leaves ties at CLOSE to rounding.
+    assert set(rows.tolist()) == set(np.flatnonzero(want.max(1) >= toxicity.CLOSE).tolist()) and len(rows) > 15
+    assert np.allclose(values, np.where(want[rows] >= toxicity.CLOSE, want[rows], 0))
+    for word in ("x" * 300 + "worthless" + "y" * 300, "worthless" + "z" * 50, "z" * 55 + "worthless"):
+        assert marks.close([word])[1].max() > 0.99
 
 
 def test_toxicity_learns_words_and_their_variants(spark):
@@ -269,12 +285,16 @@ def test_toxicity_learns_words_and_their_variants(spark):
     for i in range(400):
         t = [word() for _ in range(30)]
         if i % 4 == 0:
-            t[rnd.randrange(30)] = "grumble" + rnd.choice(["", "s", "dor"])
+            t[rnd.randrange(30)] = "z" * rnd.choice((0, 0, 0, 40)) + "grumble" + rnd.choice(["", "s", "dor"])
         rows.append((i, " ".join(t)))
         labels.append((i, int(i % 4 == 0)))
-    docs = spark.createDataFrame([*rows, (900, None), (901, "you g.r.u.m.b.l.e now"), (902, "you g r u m b l e now"), (903, "clean words only")], "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, (900, None), (901, "you g.r.u.m.b.l.e now"), (902, "you g r u m b l e now"), (903, "clean words only"), (904, "you gruxmble"), (904, "you gruxmble"), (None, "grumble")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    got = {r.doc_id: r.score for r in toxicity.add_scores(docs, model).collect()}
+    scored = toxicity.add_scores(docs.withColumn("score", docs.text), model)
+    assert scored.columns == ["doc_id", "text", "score"] and scored.count() == docs.count()
+    assert toxicity.add_scores(docs.limit(0), model).collect() == []
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert got[904] >= toxicity.THRESHOLD and got[None] >= toxicity.THRESHOLD
     assert sum((got[i] >= toxicity.THRESHOLD) == (y == 1) for i, y in labels) >= 396
     assert got[901] >= toxicity.THRESHOLD and got[902] >= toxicity.THRESHOLD and got[903] < toxicity.THRESHOLD and got[900] < toxicity.THRESHOLD
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
