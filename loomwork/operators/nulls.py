@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.rank import ranked
+from loomwork.session import cut
 
 
 def canonical(counts: DataFrame) -> DataFrame:
@@ -19,11 +24,17 @@ def depths(counts: DataFrame, cells: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(sums.agg(F.avg("depth").alias("__mean")))).select("cell", "depth", (F.col("depth") / F.col("__mean")).alias("s"))
 
 
-def nb_null(counts: DataFrame, depth: DataFrame) -> DataFrame:
-    """Method of moments: feature, baseline (log rate) and dispersion, in one pass over the coordinates."""
+def nb_null(counts: DataFrame, depth: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Method of moments: feature, baseline (log rate) and dispersion, in one pass over the coordinates.
+
+    ``features`` (feature) are those to be fitted, with or without counts; unless given, those with counts.
+    """
     total = depth.agg(F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     x, s = F.col("value"), F.col("s")
-    sums = counts.join(depth.select("cell", "s"), "cell").groupBy("feature").agg(F.sum(x).alias("x1"), F.sum(x * x).alias("x2"), F.sum(x * s).alias("xs")).crossJoin(F.broadcast(total))
+    sums = counts.join(depth.select("cell", "s"), "cell").groupBy("feature").agg(F.sum(x).alias("x1"), F.sum(x * x).alias("x2"), F.sum(x * s).alias("xs"))
+    if features is not None:
+        sums = features.select("feature").join(sums, "feature", "left").na.fill(0.0, ["x1", "x2", "xs"])
+    sums = sums.crossJoin(F.broadcast(total))
     r = F.greatest(F.col("x1") / F.greatest("s1", F.lit(1e-12)), F.lit(1e-10))
     out = sums.withColumn("r", r)
     r = F.col("r")
@@ -53,20 +64,74 @@ def nb_residual(x: Column, m: Column, phi: Column) -> Column:
     return (x - m) / F.sqrt(F.greatest(m + phi * m * m, F.lit(1e-8)))
 
 
-def bernoulli_rates(detected: DataFrame, depth: DataFrame, rounds: int = 40) -> DataFrame:
-    """feature, q: sum over cells of 1 - (1 - q) ** depth equals the feature's detections, by geometric bisection.
+#: Distinct depths that are broadcast at once, and products computed at once.
+DEPTHS = 1 << 20
+STEP = 1 << 20
+_NEAR_1 = 1 - 1e-12
+
+
+def expected(q: np.ndarray, depth: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Expected detections at each rate."""
+    out, log = np.zeros(len(q)), np.log1p(-np.minimum(q, _NEAR_1))
+    size = max(1, STEP // max(1, len(q)))
+    for k in range(0, len(depth), size):
+        out -= np.expm1(np.outer(log, depth[k : k + size])) @ cells[k : k + size]
+    return out
+
+
+def bernoulli_rates(detected: DataFrame, depth: DataFrame, rounds: int = 40, features: DataFrame | None = None, depths: int | None = None) -> DataFrame:
+    """feature, q: sum over cells of 1 - (1 - q) ** depth equals the feature's detections, by geometric bisection; 0 where there are none.
 
-    The sum depends on the depths through their histogram alone, which is one small row.
+    The sum depends on the depths through their histogram alone. It is broadcast if it has at most ``depths``
+    bars; else blocks of it are summed up in a pass each, round by round.
     """
-    hist = depth.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct("depth", "n"))).alias("hist"))
-    totals = detected.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("total")).crossJoin(F.broadcast(hist))
-
-    def step(state: Column, _: Column) -> Column:
-        mid = F.sqrt(state["lo"] * state["hi"])
-        got = F.aggregate("hist", F.lit(0.0), lambda a, h: a + h["n"] * -F.expm1(h["depth"] * F.log1p(-F.least(mid, F.lit(1 - 1e-12)))))
-        over = got > F.col("total")
-        return F.struct(F.when(over, state["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(state["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(1e-12).alias("lo"), F.lit(1.0).alias("hi")), step)
-    out = totals.withColumn("f", found)
-    return out.select("feature", F.least(F.sqrt(F.col("f.lo") * F.col("f.hi")), F.lit(1 - 1e-12)).alias("q"))
+    hist = cut(depth.groupBy("depth").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    totals = detected.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("total"))
+    if features is not None:
+        totals = features.select("feature").join(totals, "feature", "left").na.fill(0.0, ["total"])
+    blocks = max(1, -(-hist.count() // (depths or DEPTHS)))
+    kind = totals.schema["feature"].dataType.simpleString()
+    sc = detected.sparkSession.sparkContext
+
+    def block(k: int):
+        part = hist.where(F.pmod(F.xxhash64("depth"), F.lit(blocks)) == k).toArrow()
+        order = np.argsort(part["depth"].to_numpy())
+        return sc.broadcast((part["depth"].to_numpy()[order], part["n"].to_numpy()[order]))
+
+    def halved(lo: np.ndarray, hi: np.ndarray, got: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        over, mid = got > total, np.sqrt(lo * hi)
+        return np.where(over, lo, mid), np.where(over, mid, hi)
+
+    def rate(lo: np.ndarray, hi: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, np.minimum(np.sqrt(lo * hi), _NEAR_1), 0.0)
+
+    if blocks == 1:
+        one = block(0)
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                total = b.column(1).to_numpy()
+                lo, hi = np.full(len(total), 1e-12), np.ones(len(total))
+                for _ in range(rounds):
+                    lo, hi = halved(lo, hi, expected(np.sqrt(lo * hi), *one.value), total)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rate(lo, hi, total))], ["feature", "q"])
+
+        return totals.mapInArrow(solve, f"feature {kind}, q double")
+    state = cut(totals.select("feature", "total", F.lit(1e-12).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0.0).alias("got")))
+    names, schema = ["feature", "total", "lo", "hi", "got"], f"feature {kind}, total double, lo double, hi double, got double"
+    for _ in range(rounds):
+        for k in range(blocks):
+            held = block(k)
+
+            def add(batches: Iterator[pa.RecordBatch], held=held, last=k == blocks - 1) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    total, lo, hi, got = (b.column(i).to_numpy() for i in range(1, 5))
+                    got = got + expected(np.sqrt(lo * hi), *held.value)
+                    if last:
+                        (lo, hi), got = halved(lo, hi, got, total), np.zeros(len(got))
+                    yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (total, lo, hi, got))], names)
+
+            state = cut(state.mapInArrow(add, schema))
+            held.unpersist()
+    q = F.when(F.col("total") > 0, F.least(F.sqrt(F.col("lo") * F.col("hi")), F.lit(_NEAR_1))).otherwise(0.0)
+    return state.select("feature", q.alias("q"))
