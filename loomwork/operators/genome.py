@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: hg38 centromere midpoints in Mb (fixed values).
@@ -15,6 +15,7 @@ CENTROMERE_MB = {
 ACROCENTRIC = ("chr13", "chr14", "chr15", "chr21", "chr22")
 #: Lag bins in bp (fixed values).
 LAG_BINS = ((0, 2_000), (2_000, 5_000), (5_000, 20_000), (20_000, 50_000), (50_000, 200_000), (200_000, 1_000_000))
+#: Names of features: chromosome, start, end (fixed value).
 NAME = r"^(chr[^:_\-]+)[:_\-](\d+)[\-_:](\d+)$"
 
 
@@ -26,6 +27,19 @@ def parse_names(names: DataFrame) -> DataFrame:
     return out.select("feature", part(1).alias("chrom"), part(2).cast("long").alias("start"), part(3).cast("long").alias("end")).withColumn("mid", F.expr("(start + `end`) div 2"))
 
 
+def genomic_place(chrom: Column) -> Column:
+    """chr1 to chr22, chrX and chrY in this order, others after them (by name, which is to be ordered by next)."""
+    number = F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CENTROMERE_MB) for x in (c, i)]), chrom)
+    return F.coalesce(number, F.lit(len(CENTROMERE_MB)))
+
+
+def genomic_order(coords: DataFrame) -> DataFrame:
+    """chrom, place: the chromosomes of ``coords`` numbered in genomic order."""
+    # A row per chromosome.
+    names = coords.select("chrom").distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(genomic_place(F.col("chrom")), "chrom")) - 1)
+
+
 def arms(coords: DataFrame) -> DataFrame:
     """``coords`` with arm: q on acrocentric chromosomes, ? on unknown ones, else by the centromere's midpoint."""
     mb = F.create_map(*[F.lit(x) for pair in CENTROMERE_MB.items() for x in pair])
@@ -66,8 +80,9 @@ def effects(loadings: DataFrame, regions: DataFrame, min_peaks: int = 50) -> Dat
 
 
 def dominant(effect: DataFrame) -> DataFrame:
-    """The region of the largest absolute effect of each component; ties go to the first by name."""
-    first = Window.partitionBy("k").orderBy(F.abs("effect").desc(), "region")
+    """The region (a chromosome, or one with p or q) of the largest absolute effect of each component; ties go to the first in genomic order."""
+    chrom = F.regexp_replace("region", "[pq]$", "")
+    first = Window.partitionBy("k").orderBy(F.abs("effect").desc(), genomic_place(chrom), chrom, "region")
     return effect.withColumn("r", F.row_number().over(first)).where("r = 1").select("k", F.col("region").alias("dominant"), "effect")
 
 

@@ -23,7 +23,7 @@ binned as (select cell, depth, s, (rk * least({BINS}, n) // n)::int as bin from
 sizes as (select bin, exp(avg(ln(s))) as s_bin, count(*) as n_cells from binned group by 1),
 block as (select bin, feature, n_cells, sqrt(s_bin * exp(baseline) / greatest(1 + dispersion * s_bin * exp(baseline), 1e-8)) as nul from nb, sizes),
 v as (select cell, feature, bin, value / sqrt(greatest(s * exp(baseline) + dispersion * s * exp(baseline) * s * exp(baseline), 1e-8)) as v from counts join binned using (cell) join nb using (feature))"""
-LOAD_SQL = "l as (select vec_id as feature, k - 1 as k, embedding[k]::double as v from embeddings, range(1, 9) t(k))"
+LOAD_SQL = "l as (select vec_id as feature, k - 1 as k, embedding[k]::double as v from embeddings, range(1, 65) t(k))"
 COORD_SQL = "c as (select vec_id as feature, 'chr' || (vec_id % 4 + 1) as chrom, ((vec_id // 4 // 6) % 24) * 7000000 + (vec_id // 4 // 6 // 24) * 1000000 + [500, 2000, 5000, 17500, 60500, 500500][(vec_id // 4) % 6 + 1] as mid from embeddings)"
 ARM_SQL = COORD_SQL + ", arms as (select *, case when mid < case chrom when 'chr1' then 123.4e6 when 'chr2' then 93.9e6 when 'chr3' then 90.9e6 else 50e6 end then 'p' else 'q' end as arm from c)"
 Z_SQL = LOAD_SQL + ", st as (select k, avg(v) m, stddev_pop(v) s from l group by 1), z as (select feature, l.k, (v - m) / greatest(s, 1e-300) as z from l join st using (k))"
@@ -53,7 +53,7 @@ def fitted(spark: SparkSession, d: str):
 
 
 def loadings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v")).select("feature", F.col("k").cast("long"), F.col("v").cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding").alias("k", "v")).select("feature", F.col("k").cast("long"), F.col("v").cast("double"))
 
 
 def coords(spark: SparkSession, d: str) -> DataFrame:

@@ -16,8 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; what reads it survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # Only where the cluster names no shared folder, as in tests.
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwork-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            # One machine, as in tests: its own folder is shared by all.
+            folder = tempfile.mkdtemp(prefix="loomwork-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
