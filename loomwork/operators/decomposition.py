@@ -45,9 +45,12 @@ def mapped(block: DataFrame, by: np.ndarray, key: str) -> DataFrame:
     return block.select(key, "vec").mapInArrow(run, f"{key} {block.schema[key].dataType.simpleString()}, vec array<double>")
 
 
-def orthonormal(block: DataFrame, width: int, key: str = "j") -> tuple[DataFrame, int]:
-    """A block with orthonormal columns and the same span: triangular factors of the partitions, twice over; dependent columns go."""
-    for _ in range(2):
+def orthonormal(block: DataFrame, width: int, key: str = "j", times: int = 2) -> tuple[DataFrame, int]:
+    """A block with orthonormal columns and the same span, from the triangular factors of the partitions; dependent columns go.
+
+    Once is enough between passes; a second time makes products of columns 0 to working precision.
+    """
+    for _ in range(times):
 
         def factor(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
             r = np.zeros((0, width))
@@ -108,9 +111,9 @@ def _deviates(seed: int, width: int):
 def randomized(op: Operator, n_comps: int, oversample: int = 20, n_power: int = 7, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Singular values, components (j, vec) and scores (cell, vec) of a centred operator."""
     width = min(n_comps + oversample, op.n_cells, op.n_features)
-    block, width = orthonormal(cut(sketch(op, width, seed)), width)
-    for _ in range(n_power + 1):
-        block, width = orthonormal(passed(op, block, width), width)
+    block, width = orthonormal(cut(sketch(op, width, seed)), width, times=1)
+    for k in range(n_power + 1):
+        block, width = orthonormal(passed(op, block, width), width, times=1 + (k == n_power))
     again = passed(op, block, width)
     both = block.select("j", F.col("vec").alias("a")).join(again.select("j", F.col("vec").alias("b")), "j")
 

@@ -19,9 +19,9 @@ def canonical(counts: DataFrame) -> DataFrame:
 
 
 def depths(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """cell, depth (its sum, 0 where it has no counts) and s, the depth over the mean depth."""
+    """cell, depth (its sum, 0 where it has no counts) and s, the depth over the mean depth (null if that is 0)."""
     sums = cells.select("cell").join(counts.groupBy("cell").agg(F.sum("value").alias("depth")), "cell", "left").withColumn("depth", F.coalesce("depth", F.lit(0.0)))
-    return sums.crossJoin(F.broadcast(sums.agg(F.avg("depth").alias("__mean")))).select("cell", "depth", (F.col("depth") / F.col("__mean")).alias("s"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.avg("depth").alias("__mean")))).select("cell", "depth", F.try_divide("depth", "__mean").alias("s"))
 
 
 def nb_null(counts: DataFrame, depth: DataFrame, features: DataFrame | None = None) -> DataFrame:

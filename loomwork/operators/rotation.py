@@ -51,11 +51,11 @@ class Moments:
             u, m2 = self.m1, self.covariance()
             uu, u3 = np.outer(u, u), np.einsum("a,bcd->abcd", u, self.m3)
             m4 = m4 - (u3 + u3.transpose(1, 0, 2, 3) + u3.transpose(1, 2, 0, 3) + u3.transpose(1, 2, 3, 0))
-            for axes in ("abcd", "acbd", "adbc"):
+            for axes in ("abcd", "acbd", "acdb"):
                 # Each way to split four places in two pairs, either pair being the one of means.
                 m4 = m4 + np.einsum(f"ab,cd->{axes}", uu, self.m2) + np.einsum(f"ab,cd->{axes}", self.m2, uu)
             m4 = m4 - 3 * np.multiply.outer(uu, uu)
-        return m4 - sum(np.einsum(f"ab,cd->{axes}", m2, m2) for axes in ("abcd", "acbd", "adbc"))
+        return m4 - sum(np.einsum(f"ab,cd->{axes}", m2, m2) for axes in ("abcd", "acbd", "acdb"))
 
 
 def moments(block: DataFrame, width: int, weights: Callable[[np.ndarray], np.ndarray] | None = None, sets: int = 1, by: np.ndarray | None = None) -> list[Moments]:

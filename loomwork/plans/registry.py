@@ -1,6 +1,6 @@
 """All registered queries: importing the modules of queries fills the catalogue."""
 
-from loomwork.plans import bernoulli, models
+from loomwork.plans import bernoulli, models, readouts
 from loomwork.plans.catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bernoulli", "models"]
+__all__ = ["QUERIES", "SQL", "bernoulli", "models", "readouts"]
