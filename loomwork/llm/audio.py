@@ -4,11 +4,12 @@ A recording's frames (``FRAME`` samples, every ``HOP``) are folded into twelve p
 differences of rectangle sums read from an integral image over time and pitch class, are each cut
 into four levels (Gray code, two bits); ``FILTERS`` of them pack into one 32-bit integer per place.
 
-Recordings of equal fingerprints are one class. Seeds (two integers, ``GAP`` places apart) of query
-classes meet those of all classes; hits are counted per pair and offset, and each pair's best offsets
-(all with ``VOTES`` hits or more) are verified by the share of unlike bits over their whole overlap.
+Recordings of equal fingerprints are one class. A class's integers are its seeds. A query asks with the integers of its
+recording begun at each of ``SHIFTS`` parts of a hop, since a cut seldom falls on a hop, each with all combinations of its
+``FLIPS`` least certain filters read one level over. Hits are counted per pair and offset; where ``VOTES`` unlike places
+hit, the pair is verified at that offset by the share of unlike bits over the whole overlap.
 
-Defined results: null, too short or undecodable media have no integers, are a class of their own
+Defined results: null, too short or undecodable media (those on which the decoder raises) have no integers, are a class of their own
 each, and match nothing; repeated rows are one class; null ids are dropped from queries, not from
 membership; empty tables give no rows; media of any length are whole; other columns are not read.
 """
@@ -29,8 +30,9 @@ RATE = 5512
 FRAME, HOP = 2048, 689
 LOW_HZ, HIGH_HZ = 60.0, 2400.0
 WIDTH = 8
-GAP = 4
 VOTES = 2
+#: Starts within a hop that a query asks from, and filters of which it asks both levels.
+SHIFTS, FLIPS = 4, 4
 #: Largest share of unlike bits, and least places of overlap.
 UNLIKE, OVERLAP = 0.2, 24
 CUTS = (-0.25, 0.0, 0.25)
@@ -75,19 +77,17 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return np.where(size > 1e-3, out / np.maximum(size, 1e-3), 0)
 
 
-def integers(frames: np.ndarray) -> np.ndarray:
-    """One packed integer (uint32) for each place with WIDTH frames."""
-    n = len(frames) - WIDTH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
+def readings(frames: np.ndarray) -> np.ndarray:
+    """Log ratio of each filter's areas at each place with WIDTH frames: places by filters."""
+    n = max(0, len(frames) - WIDTH + 1)
     image = np.zeros((len(frames) + 1, 13))
     image[1:, 1:] = frames.astype(np.float64).cumsum(0).cumsum(1)
-    at, out = np.arange(n), np.zeros(n, np.uint32)
+    at, out = np.arange(n), np.zeros((n, len(FILTERS)))
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
         return image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
 
-    for kind, p, high, wide in FILTERS:
+    for k, (kind, p, high, wide) in enumerate(FILTERS):
         q, half_p, half_t = min(12, p + high), min(12, p + high) - (min(12, p + high) - p) // 2, wide // 2
         if kind == "pitch":
             a, b = area(0, wide, p, half_p), area(0, wide, half_p, q)
@@ -100,11 +100,55 @@ def integers(frames: np.ndarray) -> np.ndarray:
             a = area(wide // 4, wide - wide // 4, p, q)
             b = area(0, wide, p, q) - a
         # Sums of like numbers may differ by rounding; steps far above that make ties alike anywhere.
-        level = np.searchsorted(CUTS, np.round(np.log((1 + a) / (1 + b)), 6))
-        out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)
+        out[:, k] = np.round(np.log((1 + a) / (1 + b)), 6)
+    return out
+
+
+def packed(level: np.ndarray) -> np.ndarray:
+    """Levels of all filters as one integer (uint32) for each place, two bits of Gray code a filter."""
+    out = np.zeros(len(level), np.uint32)
+    for k in range(len(FILTERS)):
+        out = (out << np.uint32(2)) | (level[:, k] ^ (level[:, k] >> 1)).astype(np.uint32)
     return out
 
 
+def integers(frames: np.ndarray) -> np.ndarray:
+    """One packed integer (uint32) for each place with WIDTH frames."""
+    return packed(np.searchsorted(CUTS, readings(frames)))
+
+
+def probes(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Integers that a recording is asked for with, their places and shifts."""
+    cuts, found = np.array(CUTS), []
+    for shift in range(SHIFTS):
+        value = readings(chroma(samples[shift * HOP // SHIFTS :]))
+        level = np.searchsorted(CUTS, value)
+        off = np.abs(value[:, :, None] - cuts)
+        nearest = off.argmin(2)
+        unsure = np.argsort(off.min(2), axis=1, kind="stable")[:, :FLIPS]
+        for bits in range(1 << FLIPS):
+            other = level.copy()
+            for j in range(FLIPS):
+                if bits >> j & 1:
+                    rows, k = np.arange(len(level)), unsure[:, j]
+                    # Over the nearest cut: from above it to below, or the other way.
+                    other[rows, k] = np.where(level[rows, k] > nearest[rows, k], nearest[rows, k], nearest[rows, k] + 1)
+            found.append(np.stack([packed(other).astype(np.int64), np.arange(len(level)), np.full(len(level), shift)]))
+    return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+
+def decoded(decode: Callable, media) -> np.ndarray:
+    if not media:
+        return np.zeros(0, np.float32)
+    try:
+        return decode(media)
+    except ImportError:
+        raise
+    except Exception:
+        # Defined: what can't be decoded has no integers.
+        return np.zeros(0, np.float32)
+
+
 def fingerprints(media: DataFrame, ident: str, column: str, decode: Callable = pcm16) -> DataFrame:
     """id, key, fp (array of int): ``key`` tells fingerprints apart by 64 bits, those without integers by row."""
 
@@ -113,8 +157,7 @@ def fingerprints(media: DataFrame, ident: str, column: str, decode: Callable = p
             for k in range(0, len(b), 256):
                 ids, fps, keys = b.column(0)[k : k + 256], [], []
                 for i, x in zip(ids, b.column(1)[k : k + 256], strict=True):
-                    x = x.as_py()
-                    fp = integers(chroma(decode(x))) if x else np.zeros(0, np.uint32)
+                    fp = integers(chroma(decoded(decode, x.as_py())))
                     fps.append(fp.view(np.int32))
                     keys.append(xxhash.xxh3_64_intdigest(fp.tobytes() if len(fp) else repr(i.as_py()), seed=int(not len(fp))) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int32()))], ["id", "key", "fp"])
@@ -123,17 +166,28 @@ def fingerprints(media: DataFrame, ident: str, column: str, decode: Callable = p
 
 
 def seeds(classes: DataFrame) -> DataFrame:
-    """class_id, seed, at: two integers GAP places apart, once in each run of equal ones."""
+    """class_id, seed, at: the integers of each class, once in each run of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, fp in zip(b.column(0), b.column(1), strict=True):
-                v = fp.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
-                s = (v[:-GAP] << 32 | v[GAP:]) if len(v) > GAP else v[:0]
-                at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+                s = fp.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
+                at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(s[at]), pa.array(at.astype(np.int32))], ["class_id", "seed", "at"])
 
-    return classes.select("class_id", "fp").where(F.size("fp") > GAP).mapInArrow(run, "class_id long, seed long, at int")
+    return classes.where(F.size("fp") > 0).select("class_id", "fp").mapInArrow(run, "class_id long, seed long, at int")
+
+
+def questions(media: DataFrame, decode: Callable) -> DataFrame:
+    """query_id, seed, begins, shift of media (query_id, media)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in zip(b.column(0), b.column(1), strict=True):
+                seed, at, shift = probes(decoded(decode, x.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(seed), pa.array(at.astype(np.int32)), pa.array(shift.astype(np.int32))], ["query_id", "seed", "begins", "shift"])
+
+    return media.mapInArrow(run, "query_id long, seed long, begins int, shift int")
 
 
 def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -144,23 +198,31 @@ def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[lo:hi].view(np.uint32) ^ b[lo + offset : hi + offset].view(np.uint32)).sum()), hi - lo
 
 
-def aligned(classes: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, match_id, offset, unlike_bits, places: for each pair its best offset; ``asked`` are rows of ``classes`` (class_id, fp)."""
-    theirs = seeds(classes)
-    ours = seeds(asked).withColumnRenamed("class_id", "query_id").withColumnRenamed("at", "begins")
-    hits = ours.join(theirs, "seed").where("query_id <> class_id")
-    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= VOTES).drop("n")
-    pairs = votes.join(asked.select(F.col("class_id").alias("query_id"), F.col("fp").alias("mine")), "query_id").join(classes.select("class_id", "fp"), "class_id")
+def aligned(classes: DataFrame, media: DataFrame, decode: Callable) -> DataFrame:
+    """query_id, match_id, offset, unlike_bits, places: for each pair its best offset. classes: class_id, fp; media: query_id (a class), media."""
+    hits = questions(media, decode).distinct().join(seeds(classes), "seed").where("query_id <> class_id")
+    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(F.count_distinct("begins", "shift").alias("n")).where(F.col("n") >= VOTES)
+    # Places of a query begun within a hop lie between two of its own.
+    pairs = votes.groupBy("query_id", "class_id").agg(F.collect_set("offset").alias("offsets"))
+    mine = classes.select(F.col("class_id").alias("query_id"), F.col("fp").alias("mine"))
+    pairs = pairs.join(mine, "query_id").join(classes.select("class_id", "fp"), "class_id").select("query_id", "class_id", "offsets", "mine", "fp")
     schema = "query_id long, match_id long, offset int, unlike_bits long, places long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [unlike(x.values.to_numpy(), y.values.to_numpy(), o.as_py()) for x, y, o in zip(b["mine"], b["fp"], b["offset"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["query_id"], b["class_id"], b["offset"], pa.array([x for x, _ in n], pa.int64()), pa.array([y for _, y in n], pa.int64())], ["query_id", "match_id", "offset", "unlike_bits", "places"])
+            rows = []
+            for q, c, offsets, x, y in zip(*b.columns, strict=True):
+                best = None
+                for o in sorted({o - k for o in offsets.as_py() for k in (0, 1)}):
+                    bits, n = unlike(x.values.to_numpy(), y.values.to_numpy(), o)
+                    if n >= OVERLAP and bits <= UNLIKE * 32 * n:
+                        best = min(best or (9.0,), (bits / n, -n, o, bits))
+                if best:
+                    rows.append((q.as_py(), c.as_py(), best[2], best[3], -best[1]))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], ["query_id", "match_id", "offset", "unlike_bits", "places"])
 
-    good = pairs.mapInArrow(verify, schema).where((F.col("places") >= OVERLAP) & (F.col("unlike_bits") <= UNLIKE * 32 * F.col("places")))
-    best = F.min(F.struct((F.col("unlike_bits") / F.col("places")).alias("r"), (-F.col("places")).alias("p"), "offset", "unlike_bits", "places")).alias("b")
-    return good.groupBy("query_id", "match_id").agg(best).select("query_id", "match_id", "b.offset", "b.unlike_bits", "b.places")
+    return pairs.mapInArrow(verify, schema)
 
 
 def search(media: DataFrame, ident: str, column: str, decode: Callable, asked: Column) -> DataFrame:
@@ -170,9 +232,11 @@ def search(media: DataFrame, ident: str, column: str, decode: Callable, asked: C
     ``asked`` picks the queries by the column ``id``.
     """
     rows = cut(fingerprints(media, ident, column, decode))
-    classes = cut(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"), F.first("fp").alias("fp")))
+    classes = cut(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp")))
     known = classes.where("class_id is not null")
-    pairs = aligned(known, known.where("asked").select("class_id", "fp"))
+    ids = rows.where(F.coalesce(asked, F.lit(False))).select("id", "key").distinct().join(known.select("key", "class_id"), "key").select("id", F.col("class_id").alias("query_id"))
+    own = media.select(F.col(ident).cast("long").alias("id"), F.col(column).alias("media")).where(F.coalesce(asked, F.lit(False)))
+    pairs = aligned(known, own.join(ids, "id").select("query_id", "media"), decode)
     member = rows.select("id", "key", F.size("fp").cast("long").alias("places")).join(classes.select("key", "class_id"), "key")
     null = F.lit(None)
     return member.select("id", "class_id", "places", null.cast("long").alias("match_id"), null.cast("int").alias("offset"), null.cast("long").alias("unlike_bits")).unionByName(

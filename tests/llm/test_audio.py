@@ -45,5 +45,35 @@ def test_search_finds_parts_and_noisy_copies(spark):
     assert len(pairs) >= 0.9 * len(want)
 
 
+def damaged():
+    """Recordings and copies of them cut between hops, in noise, and both."""
+    rnd = np.random.default_rng(9)
+    full = [audio.tones(rnd.normal(size=64).tolist()) for _ in range(40)]
+    out = list(full)
+    for k, x in enumerate(full):
+        noise = lambda s, n=len(x): rnd.normal(scale=s, size=n)
+        out.append([lambda: x[344:], lambda: x[230 + 9 * audio.HOP : 230 + 57 * audio.HOP], lambda: x + noise(0.3), lambda: x + noise(1.0), lambda: (x + noise(0.8))[500:]][k % 5]())
+    return [(k, (np.clip(x / 4, -1, 1) * 30000).astype("<i2").tobytes()) for k, x in enumerate(out)]
+
+
+def test_recall_on_damaged_copies(spark):
+    rows = damaged()
+    media = spark.createDataFrame(rows, "k long, audio binary").repartition(8)
+    got = {(r.id, r.match_id): r.offset for r in audio.search(media, "k", "audio", audio.pcm16, F.col("id") >= 0).collect() if r.match_id is not None}
+    want = brute(rows)
+    assert got == {k: want[k] for k in got} and len(want) >= 2 * 35
+    assert len(got) >= 0.95 * len(want)
+
+
+def test_a_decoder_that_raises_leaves_no_integers(spark):
+    media = spark.createDataFrame([(1, b"x"), (2, b"y")], "k long, audio binary")
+
+    def broken(x):
+        raise ValueError(x)
+
+    got = audio.search(media, "k", "audio", broken, F.lit(True)).collect()
+    assert sorted((r.id, r.class_id, r.places) for r in got) == [(1, 1, 0), (2, 2, 0)]
+
+
 def test_empty_table(spark):
     assert audio.search(spark.createDataFrame([], "k long, audio binary"), "k", "audio", audio.pcm16, F.lit(True)).count() == 0
