@@ -14,7 +14,8 @@ in one class, none left out; links of both give the components.
 
 Defined results: null, empty and blank texts have an empty set and no links; a text with fewer
 words than a shingle has its whole sequence as its only shingle; rows with equal sets are linked;
-rows that repeat are rows of their own. Shingles are identified by 40 bits and their block's number, sets by 64 bits and their size.
+rows that repeat are rows of their own. Shingles are told apart by 64 bits, sets by 64 bits and their size; a column named
+__n, __sig or __root is not allowed.
 """
 
 from __future__ import annotations
@@ -28,12 +29,10 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.words import U, blocks, mix, raw, shingles, tokens
 from loomwork.operators.graph import components
-from loomwork.session import cut, tidy
+from loomwork.session import cut
 
 #: Longest extension of a prefix, and what verifying one shingle costs against one posting.
 MOST = 24
-#: Bytes of a shingle's hash in the blocks, beside the block's own number.
-BYTES = 5
 #: Longs of parity bits that a set carries; two sets differ by at least as many shingles as bits.
 LONGS = 8
 VERIFY = 1 / 16
@@ -72,15 +71,6 @@ def with_signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(add, StructType([*docs.schema.fields]).add("__n", LongType()).add("__sig", LongType()))
 
 
-def packed(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    some = np.frombuffer(b, np.uint8).reshape(-1, BYTES)
-    return np.pad(some, ((0, 0), (0, 8 - BYTES))).view(U).reshape(-1)
-
-
 def parity(tok: np.ndarray) -> np.ndarray:
     """For each of 64 * LONGS places, whether an odd number of shingles fall there."""
     odd = np.bincount((mix(tok ^ U(0x1D8E4E27C47D124F)) % U(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
@@ -110,7 +100,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 h, row = h[keep], row[keep]
                 part = (h % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                h, row, part = h[order] // U(parts) & U((1 << 8 * BYTES) - 1), row[order], part[order]
+                h, row, part = h[order], row[order], part[order]
                 at = np.searchsorted(part, np.arange(parts + 1))
                 cols: list[list] = [[] for _ in range(5)]
                 for p in range(parts):
@@ -118,13 +108,12 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         r = row[at[p] : at[p + 1]]
                         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                         own = r[first]
-                        for c, v in zip(cols, (p, packed(h[at[p] : at[p + 1]]), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), np.diff(np.r_[first, len(r)]).astype(np.uint32).tobytes()), strict=True):
+                        for c, v in zip(cols, (p, h[at[p] : at[p + 1]].tobytes(), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), np.diff(np.r_[first, len(r)]).astype(np.uint32).tobytes()), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "shingles", "sigs", "sizes", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
-        p = group["part"][0].as_py()
-        tok = np.concatenate([unpacked(x.as_buffer()) for x in group["shingles"]])
+        tok = joined(group["shingles"], U)
         counts = joined(group["counts"], np.uint32)
         sig, size = np.repeat(joined(group["sigs"], U), counts), np.repeat(joined(group["sizes"], np.uint32), counts)
         order = np.lexsort((sig, tok))
@@ -135,7 +124,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         times = np.diff(np.r_[first, len(tok)])
         df = np.repeat(times, times)
         keep = df > 1
-        tok, sig, size, df = tok[keep] * U(parts) + U(p), sig[keep], size[keep], df[keep].astype(np.uint32)
+        tok, sig, size, df = tok[keep], sig[keep], size[keep], df[keep].astype(np.uint32)
         to = (sig % U(parts)).astype(np.int64)
         order = np.lexsort((sig, to))
         tok, sig, size, df, to = (x[order] for x in (tok, sig, size, df, to))
@@ -206,7 +195,6 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         found = pairs if found is None else found.union(pairs).distinct()
     tied = cut(verified(found, sets, num, den).select("a", "b"))
     roots = cut(components(tied))
-    tidy(sets.sparkSession)
     placed = postings.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     placed = placed.join(mixed, "tok").join(sets.select("sig", *[F.col("bits")[k].alias(f"bits{k}") for k in range(LONGS)]), "sig")
