@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +23,3 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="loomwork-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver forget the plans, broadcasts and shuffles of finished rounds, which loops of jobs pile up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

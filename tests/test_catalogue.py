@@ -12,12 +12,23 @@ def test_same_rows_as_sql(spark, name):
     assert ": same " in said, said
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    from loomwork.operators.graph import components
-
-    edges = [(i, i + 1) for i in range(10, 20)] + [(100, j) for j in range(101, 120)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(10, 21), 10), **dict.fromkeys(range(100, 120), 100)}
+@pytest.mark.parametrize("held", [0, 30, 1 << 20])
+def test_components_of_chains_stars_and_random_links(spark, monkeypatch, held):
+    import random
+
+    from loomwork.operators import graph
+
+    monkeypatch.setattr(graph, "HELD", held)
+    rnd = random.Random(4)
+    edges = [(i, i + 1) for i in range(10, 20)] + [(100, j) for j in range(101, 120)] + [(rnd.randrange(1000, 1200), rnd.randrange(1000, 1200)) for _ in range(120)] + [(5, 5)]
+    root = {i: i for e in edges for i in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_ranks_are_global_and_bins_are_equal_counts(spark):
