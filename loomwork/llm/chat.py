@@ -6,8 +6,8 @@ already one more), so that no text can end its turn, and reading back takes it a
 
 Defined results: null texts and roles are empty; turns are ordered by turn, role and text, nulls
 first, and repeated rows are turns of their own; a conversation with a null id is one
-conversation; an empty table gives an empty result. Roles that the machine does not allow at
-their place are formatted too, but not learnt, and ``valid`` is false.
+conversation; an empty table gives an empty result; other columns are not read. Roles that the machine does not
+allow at their place are formatted too, ``valid`` is then false, and the template's learnt roles are learnt all the same.
 """
 
 from __future__ import annotations

@@ -145,6 +145,24 @@ def best_score(i: int, at: np.ndarray, text: np.ndarray, b: Block) -> float:
     return best / (MATCH * len(item))
 
 
+def matches(column: pa.Array, b: Block, threshold: float) -> Iterator[tuple[int, int | None, float]]:
+    """Row, item and score of every pair of a text of the column and an item of the block at or above the threshold."""
+    data, off = raw(column)
+    for lo, hi in blocks(off):
+        h, row = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], LOOSE)
+        at, srow, seed = hits(h, row, b)
+        edge = np.r_[np.flatnonzero(np.r_[True, srow[1:] != srow[:-1]]), len(srow)] if len(srow) else [0]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            r, text = int(srow[s]), None
+            for i in candidates(seed[s:e], b).tolist():
+                if text is None:
+                    first, last = np.searchsorted(row, r), np.searchsorted(row, r, "right")
+                    text, places, held = h[first:last], at[s:e] - first, b.distinct[seed[s:e]]
+                score = best_score(i, places[np.isin(held, b.own[i])], text, b)
+                if score >= threshold:
+                    yield lo + r, b.ids[i], score
+
+
 def aligned(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score of every pair at or above the threshold."""
     spark, out = docs.sparkSession, None
@@ -153,23 +171,8 @@ def aligned(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
         shared = spark.sparkContext.broadcast(block)
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
             for x in batches:
-                data, off = raw(x.column(1))
-                rows: list[tuple] = []
-                for lo, hi in blocks(off):
-                    h, row = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], LOOSE)
-                    at, srow, seed = hits(h, row, b)
-                    edge = np.r_[np.flatnonzero(np.r_[True, srow[1:] != srow[:-1]]), len(srow)] if len(srow) else [0]
-                    for s, e in zip(edge[:-1], edge[1:], strict=True):
-                        r, text = int(srow[s]), None
-                        for i in candidates(seed[s:e], b).tolist():
-                            if text is None:
-                                first, last = np.searchsorted(row, r), np.searchsorted(row, r, "right")
-                                text, places, held = h[first:last], at[s:e] - first, b.distinct[seed[s:e]]
-                            score = best_score(i, places[np.isin(held, b.own[i])], text, b)
-                            if score >= threshold:
-                                rows.append((x.column(0)[lo + r].as_py(), b.ids[i], score))
+                rows = [(x.column(0)[r].as_py(), i, score) for r, i, score in matches(x.column(1), shared.value, threshold)]
                 cols = list(zip(*rows, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score"])
 
@@ -178,5 +181,21 @@ def aligned(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double")
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text is aligned with no item, whatever their ids; columns as they were."""
+    at = docs.columns.index("text")
+    for block in item_blocks(items, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                clean = np.ones(len(x), bool)
+                clean[[r for r, _, _ in matches(x.column(at), shared.value, threshold)]] = False
+                yield x.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -11,7 +11,8 @@ sums over whole bands and salts come from a small table, so no window holds a wh
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last;
 rows that repeat are documents of their own; an empty table gives an empty result; further
-columns are carried along, and helper columns have names that start with ``__mix_``.
+columns are carried along, but those named size, source_size, target, copies or copy are replaced; helper
+columns have names that start with ``__mix_``.
 """
 
 from __future__ import annotations
@@ -71,6 +72,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
             "__mix_name": F.coalesce(F.col(group), F.lit("")),
         }
     )
+    fresh = ("size", "source_size", "target", "copies")
+    named = named.drop(*fresh, "copy")
     # Bands split powers of two in four, so that they hold sizes within a fifth of each other.
     bits = F.length(F.bin(F.col("__mix_size") + 4))
     quarter = F.call_function("shiftright", F.col("__mix_size") + 4, bits - 3).bitwiseAND(F.lit(3))
@@ -87,9 +90,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     offset = hashed(F.lit(f"{seed}/"), F.when(F.col("__mix_null"), "-").otherwise("+"), F.col("__mix_name")) / F.lit(float(1 << 32))
     reach = lambda k: F.floor(F.col("__mix_rate") * (F.col("__mix_start") + k) + offset)
     out = numbered.join(starts, part).withColumn("copies", reach(F.col("__mix_at")) - reach(F.col("__mix_at") - 1))
-    fresh = {"size": F.col("__mix_size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies")}
-    kept = [F.col(c) for c in docs.columns if c not in fresh]
-    return out.select(*kept, *[c.alias(n) for n, c in fresh.items()])
+    kept = [F.col(c) for c in docs.columns if c not in (*fresh, "copy")]
+    return out.select(*kept, F.col("__mix_size").alias("size"), "source_size", "target", "copies")
 
 
 def mixed_rows(docs: DataFrame, **how: object) -> DataFrame:

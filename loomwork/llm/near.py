@@ -14,7 +14,7 @@ in one class, none left out; links of both give the components.
 
 Defined results: null, empty and blank texts have an empty set and no links; a text with fewer
 words than a shingle has its whole sequence as its only shingle; rows with equal sets are linked;
-rows that repeat are rows of their own. Shingles are told apart by 64 bits, sets by 64 bits and their size; a column named
+rows that repeat are rows of their own; a component whose rows have no id has none. Shingles are told apart by 64 bits, sets by 64 bits and their size; a column named
 __n, __sig or __root is not allowed.
 """
 
@@ -36,6 +36,8 @@ MOST = 24
 #: Longs of parity bits that a set carries; two sets differ by at least as many shingles as bits.
 LONGS = 8
 VERIFY = 1 / 16
+#: Bytes of text whose shingles are counted in one group.
+PART = 8 << 20
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,13 +79,21 @@ def parity(tok: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def stretches(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of each run of equal values."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return zip(x[first].tolist(), first.tolist(), np.r_[first, len(x)][1:].tolist(), strict=True)
+
+
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
 
 
 def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Sets that may have partners: sig, n, ell, prefix, first (length of the prefix of l = 1), held (shingles that others have too), mass (mean log of their counts), bits (parity of the shared ones), tokens (those shared, sorted, as bytes)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Groups of about PART bytes of text, so that what a task holds does not grow with the input.
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -101,15 +111,13 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 part = (h % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 h, row, part = h[order], row[order], part[order]
-                at = np.searchsorted(part, np.arange(parts + 1))
                 cols: list[list] = [[] for _ in range(5)]
-                for p in range(parts):
-                    if at[p] < at[p + 1]:
-                        r = row[at[p] : at[p + 1]]
-                        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                        own = r[first]
-                        for c, v in zip(cols, (p, h[at[p] : at[p + 1]].tobytes(), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), np.diff(np.r_[first, len(r)]).astype(np.uint32).tobytes()), strict=True):
-                            c.append(v)
+                for p, s, e in stretches(part):
+                    r = row[s:e]
+                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    own = r[first]
+                    for c, v in zip(cols, (p, h[s:e].tobytes(), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), np.diff(np.r_[first, len(r)]).astype(np.uint32).tobytes()), strict=True):
+                        c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "shingles", "sigs", "sizes", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
@@ -128,15 +136,12 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         to = (sig % U(parts)).astype(np.int64)
         order = np.lexsort((sig, to))
         tok, sig, size, df, to = (x[order] for x in (tok, sig, size, df, to))
-        at = np.searchsorted(to, np.arange(parts + 1))
         cols: list[list] = [[] for _ in range(6)]
-        for q in range(parts):
-            if at[q] < at[q + 1]:
-                own = slice(at[q], at[q + 1])
-                s = sig[own]
-                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                for c, v in zip(cols, (q, tok[own].tobytes(), df[own].tobytes(), s[first].tobytes(), size[own][first].tobytes(), np.diff(np.r_[first, len(s)]).astype(np.uint32).tobytes()), strict=True):
-                    c.append(v)
+        for q, lo, hi in stretches(to):
+            own, s = slice(lo, hi), sig[lo:hi]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            for c, v in zip(cols, (q, tok[own].tobytes(), df[own].tobytes(), s[first].tobytes(), size[own][first].tobytes(), np.diff(np.r_[first, len(s)]).astype(np.uint32).tobytes()), strict=True):
+                c.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["to", "shingles", "dfs", "sigs", "sizes", "counts"])
 
     def prefixes(group: pa.Table) -> pa.Table:
