@@ -32,7 +32,7 @@ LOW_HZ, HIGH_HZ = 60.0, 2400.0
 WIDTH = 8
 VOTES = 2
 #: Starts within a hop that a query asks from, and filters of which it asks both levels.
-SHIFTS, FLIPS = 4, 4
+SHIFTS, FLIPS = 2, 4
 #: Largest share of unlike bits, and least places of overlap.
 UNLIKE, OVERLAP = 0.2, 24
 CUTS = (-0.25, 0.0, 0.25)
@@ -170,24 +170,25 @@ def seeds(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, fp in zip(b.column(0), b.column(1), strict=True):
-                s = fp.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
-                at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(s[at]), pa.array(at.astype(np.int32))], ["class_id", "seed", "at"])
+            (off, v), ids = (b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)), b.column(0).to_numpy()
+            v, off = v[off[0] : off[-1]], off - off[0]
+            row = np.repeat(np.arange(len(ids)), np.diff(off))
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (row[1:] != row[:-1])]) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(v[first]), pa.array((first - off[row[first]]).astype(np.int32))], ["class_id", "seed", "at"])
 
-    return classes.where(F.size("fp") > 0).select("class_id", "fp").mapInArrow(run, "class_id long, seed long, at int")
+    return classes.where(F.size("fp") > 0).select("class_id", "fp").mapInArrow(run, "class_id long, seed int, at int")
 
 
 def questions(media: DataFrame, decode: Callable) -> DataFrame:
-    """query_id, seed, begins, shift of media (query_id, media)."""
+    """query_id, seed, begins, shift of media (query_id, media), one row for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, x in zip(b.column(0), b.column(1), strict=True):
                 seed, at, shift = probes(decoded(decode, x.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(seed), pa.array(at.astype(np.int32)), pa.array(shift.astype(np.int32))], ["query_id", "seed", "begins", "shift"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(seed.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(shift.astype(np.int8))], ["query_id", "seed", "begins", "shift"])
 
-    return media.mapInArrow(run, "query_id long, seed long, begins int, shift int")
+    return media.mapInArrow(run, "query_id long, seed int, begins int, shift byte")
 
 
 def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -200,8 +201,9 @@ def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 def aligned(classes: DataFrame, media: DataFrame, decode: Callable) -> DataFrame:
     """query_id, match_id, offset, unlike_bits, places: for each pair its best offset. classes: class_id, fp; media: query_id (a class), media."""
-    hits = questions(media, decode).distinct().join(seeds(classes), "seed").where("query_id <> class_id")
-    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(F.count_distinct("begins", "shift").alias("n")).where(F.col("n") >= VOTES)
+    hits = questions(media, decode).join(seeds(classes), "seed").where("query_id <> class_id")
+    # A place of a query has each integer once, and a place of a class has one, so hits at one offset are unlike places.
+    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
     # Places of a query begun within a hop lie between two of its own.
     pairs = votes.groupBy("query_id", "class_id").agg(F.collect_set("offset").alias("offsets"))
     mine = classes.select(F.col("class_id").alias("query_id"), F.col("fp").alias("mine"))
@@ -234,9 +236,11 @@ def search(media: DataFrame, ident: str, column: str, decode: Callable, asked: C
     rows = cut(fingerprints(media, ident, column, decode))
     classes = cut(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp")))
     known = classes.where("class_id is not null")
-    ids = rows.where(F.coalesce(asked, F.lit(False))).select("id", "key").distinct().join(known.select("key", "class_id"), "key").select("id", F.col("class_id").alias("query_id"))
-    own = media.select(F.col(ident).cast("long").alias("id"), F.col(column).alias("media")).where(F.coalesce(asked, F.lit(False)))
-    pairs = aligned(known, own.join(ids, "id").select("query_id", "media"), decode)
+    # One recording asks for each class: of the smallest id that is asked.
+    ids = rows.where(F.coalesce(asked, F.lit(False))).groupBy("key").agg(F.min("id").alias("id")).join(known.select("key", "class_id"), "key").select("id", F.col("class_id").alias("query_id"))
+    own = media.select(F.col(ident).cast("long").alias("id"), F.col(column).alias("media")).where(F.coalesce(asked, F.lit(False))).join(ids, "id")
+    own = own.groupBy("query_id").agg(F.first("media").alias("media"))
+    pairs = aligned(known, own, decode)
     member = rows.select("id", "key", F.size("fp").cast("long").alias("places")).join(classes.select("key", "class_id"), "key")
     null = F.lit(None)
     return member.select("id", "class_id", "places", null.cast("long").alias("match_id"), null.cast("int").alias("offset"), null.cast("long").alias("unlike_bits")).unionByName(
