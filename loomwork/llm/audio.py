@@ -6,8 +6,8 @@ into four levels (Gray code, two bits); ``FILTERS`` of them pack into one 32-bit
 
 Recordings of equal fingerprints are one class. A class's integers are its seeds. A query asks with the integers of its
 recording begun at each of ``SHIFTS`` parts of a hop, since a cut seldom falls on a hop, each with all combinations of its
-``FLIPS`` least certain filters read one level over. Hits are counted per pair and offset; where ``VOTES`` unlike places
-hit, the pair is verified at that offset by the share of unlike bits over the whole overlap.
+``FLIPS`` least certain filters read one level over. Hits are counted per pair and offset; where ``VOTES`` unlike stretches of
+``SLOT`` places hit, the pair is verified at that offset by the share of unlike bits over the whole overlap.
 
 Defined results: null, too short or undecodable media (those on which the decoder raises) have no integers, are a class of their own
 each, and match nothing; repeated rows are one class; null ids are dropped from queries, not from
@@ -30,7 +30,8 @@ RATE = 5512
 FRAME, HOP = 2048, 689
 LOW_HZ, HIGH_HZ = 60.0, 2400.0
 WIDTH = 8
-VOTES = 2
+#: Stretches of SLOT places, this many of which must hit at one offset; neighbours hit together by chance.
+VOTES, SLOT = 3, 4
 #: Starts within a hop that a query asks from, and filters of which it asks both levels.
 SHIFTS, FLIPS = 2, 4
 #: Largest share of unlike bits, and least places of overlap.
@@ -202,8 +203,9 @@ def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 def aligned(classes: DataFrame, media: DataFrame, decode: Callable) -> DataFrame:
     """query_id, match_id, offset, unlike_bits, places: for each pair its best offset. classes: class_id, fp; media: query_id (a class), media."""
     hits = questions(media, decode).join(seeds(classes), "seed").where("query_id <> class_id")
-    # A place of a query has each integer once, and a place of a class has one, so hits at one offset are unlike places.
-    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
+    # Stretches that hit, as bits of 64 (those 64 apart count as one).
+    slots = F.expr(f"bit_or(shiftleft(1L, cast(begins div {SLOT} % 64 as int)))")
+    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(slots.alias("slots")).where(F.bit_count("slots") >= VOTES)
     # Places of a query begun within a hop lie between two of its own.
     pairs = votes.groupBy("query_id", "class_id").agg(F.collect_set("offset").alias("offsets"))
     mine = classes.select(F.col("class_id").alias("query_id"), F.col("fp").alias("mine"))
