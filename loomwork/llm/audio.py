@@ -9,6 +9,9 @@ recording begun at each of ``SHIFTS`` parts of a hop, since a cut seldom falls o
 ``FLIPS`` least certain filters read one level over. Hits are counted per pair and offset; where ``VOTES`` unlike stretches of
 ``SLOT`` places hit, the pair is verified at that offset by the share of unlike bits over the whole overlap.
 
+Queries are a stated set: they are broadcast in blocks of at most ``PROBES`` probes (or one recording), each held against
+all classes where they lie, so chance hits are counted within a task and nothing but aligned pairs leaves it.
+
 Defined results: null, too short or undecodable media (those on which the decoder raises) have no integers, are a class of their own
 each, and match nothing; repeated rows are one class; null ids are dropped from queries, not from
 membership; empty tables give no rows; media of any length are whole; other columns are not read.
@@ -32,6 +35,8 @@ LOW_HZ, HIGH_HZ = 60.0, 2400.0
 WIDTH = 8
 #: Stretches of SLOT places, this many of which must hit at one offset; neighbours hit together by chance.
 VOTES, SLOT = 3, 4
+#: Probes and queries of a block, and hits counted at once.
+PROBES, QUERIES, HITS = 1 << 21, 1 << 10, 1 << 22
 #: Starts within a hop that a query asks from, and filters of which it asks both levels.
 SHIFTS, FLIPS = 2, 4
 #: Largest share of unlike bits, and least places of overlap.
@@ -166,30 +171,61 @@ def fingerprints(media: DataFrame, ident: str, column: str, decode: Callable = p
     return media.select(F.col(ident).cast("long").alias("id"), column).mapInArrow(run, "id long, key long, fp array<int>")
 
 
-def seeds(classes: DataFrame) -> DataFrame:
-    """class_id, seed, at: the integers of each class, once in each run of equal ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (off, v), ids = (b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)), b.column(0).to_numpy()
-            v, off = v[off[0] : off[-1]], off - off[0]
-            row = np.repeat(np.arange(len(ids)), np.diff(off))
-            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (row[1:] != row[:-1])]) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(v[first]), pa.array((first - off[row[first]]).astype(np.int32))], ["class_id", "seed", "at"])
-
-    return classes.where(F.size("fp") > 0).select("class_id", "fp").mapInArrow(run, "class_id long, seed int, at int")
-
-
 def questions(media: DataFrame, decode: Callable) -> DataFrame:
-    """query_id, seed, begins, shift of media (query_id, media), one row for each query."""
+    """query_id, fp, and the probes of each (seeds, places) of media (query_id, fp, media)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, x in zip(b.column(0), b.column(1), strict=True):
-                seed, at, shift = probes(decoded(decode, x.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(seed.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(shift.astype(np.int8))], ["query_id", "seed", "begins", "shift"])
-
-    return media.mapInArrow(run, "query_id long, seed int, begins int, shift byte")
+            for k in range(0, len(b), 64):
+                found = [probes(decoded(decode, x.as_py()))[:2] for x in b.column(2)[k : k + 64]]
+                packed_up = [pa.array([x[j].astype(np.uint32).view(np.int32).tobytes() for x in found], pa.binary()) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(c[k : k + 64] for c in b.columns[:2]), *packed_up], ["query_id", "fp", "seeds", "places"])
+
+    return media.select("query_id", "fp", "media").mapInArrow(run, "query_id long, fp array<int>, seeds binary, places binary")
+
+
+class Asked:
+    """A block of queries: ids, fingerprints, and all probes in the order of their seeds."""
+
+    def __init__(self, rows: list):
+        self.ids = np.array([r["query_id"] for r in rows], np.int64)
+        self.fps = [np.array(r["fp"], np.int32) for r in rows]
+        seeds, places = ([np.frombuffer(r[name], np.int32) for r in rows] for name in ("seeds", "places"))
+        seed = np.concatenate(seeds)
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.place = seed[order], np.concatenate(places)[order]
+        self.query = np.repeat(np.arange(len(rows)), [len(x) for x in seeds])[order]
+
+    def hits(self, v: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Row, query and offset with VOTES stretches that hit, of classes' integers with their rows (under 4096) and places."""
+        lo = np.searchsorted(self.seed, v)
+        width = np.searchsorted(self.seed, v, "right") - lo
+        some = np.flatnonzero(width)
+        ends, i, keys = np.cumsum(width[some]), 0, [np.zeros(0, np.int64)]
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - width[some[i]] + HITS, "right")))
+            own, w = some[i:j], width[some[i:j]]
+            probe = np.arange(w.sum()) + np.repeat(lo[own] - np.r_[0, np.cumsum(w)[:-1]], w)
+            offset = np.repeat(at[own], w) - self.place[probe].astype(np.int64) + (1 << 31)
+            key = (np.repeat(row[own], w) * QUERIES + self.query[probe]) << 32 | offset
+            keys.append(np.unique(key * 64 + self.place[probe] // SLOT % 64))
+            i = j
+        key, n = np.unique(np.unique(np.concatenate(keys)) // 64, return_counts=True)
+        key = key[n >= VOTES]
+        return zip((key >> 32) // QUERIES, (key >> 32) % QUERIES, (key & ((1 << 32) - 1)) - (1 << 31), strict=True)
+
+
+def asked_blocks(queries: DataFrame) -> Iterator[Asked]:
+    """Blocks of queries, read one at a time."""
+    rows, size = [], 0
+    for r in queries.toLocalIterator():
+        rows.append(r)
+        size += len(r["seeds"]) // 4
+        if size >= PROBES or len(rows) == QUERIES:
+            yield Asked(rows)
+            rows, size = [], 0
+    if rows:
+        yield Asked(rows)
 
 
 def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -201,32 +237,38 @@ def unlike(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 
 def aligned(classes: DataFrame, media: DataFrame, decode: Callable) -> DataFrame:
-    """query_id, match_id, offset, unlike_bits, places: for each pair its best offset. classes: class_id, fp; media: query_id (a class), media."""
-    hits = questions(media, decode).join(seeds(classes), "seed").where("query_id <> class_id")
-    # Stretches that hit, as bits of 64 (those 64 apart count as one).
-    slots = F.expr(f"bit_or(shiftleft(1L, cast(begins div {SLOT} % 64 as int)))")
-    votes = hits.groupBy("query_id", "class_id", (F.col("at") - F.col("begins")).alias("offset")).agg(slots.alias("slots")).where(F.bit_count("slots") >= VOTES)
-    # Places of a query begun within a hop lie between two of its own.
-    pairs = votes.groupBy("query_id", "class_id").agg(F.collect_set("offset").alias("offsets"))
-    mine = classes.select(F.col("class_id").alias("query_id"), F.col("fp").alias("mine"))
-    pairs = pairs.join(mine, "query_id").join(classes.select("class_id", "fp"), "class_id").select("query_id", "class_id", "offsets", "mine", "fp")
-    schema = "query_id long, match_id long, offset int, unlike_bits long, places long"
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for q, c, offsets, x, y in zip(*b.columns, strict=True):
-                best = None
-                for o in sorted({o - k for o in offsets.as_py() for k in (0, 1)}):
-                    bits, n = unlike(x.values.to_numpy(), y.values.to_numpy(), o)
-                    if n >= OVERLAP and bits <= UNLIKE * 32 * n:
-                        best = min(best or (9.0,), (bits / n, -n, o, bits))
-                if best:
-                    rows.append((q.as_py(), c.as_py(), best[2], best[3], -best[1]))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], ["query_id", "match_id", "offset", "unlike_bits", "places"])
-
-    return pairs.mapInArrow(verify, schema)
+    """query_id, match_id, offset, unlike_bits, places: for each pair its best offset. classes: class_id, fp; media: query_id (a class), its fp, media."""
+    schema, out = "query_id long, match_id long, offset int, unlike_bits long, places long", None
+    names = [f.split()[0] for f in schema.split(", ")]
+    sc = classes.sparkSession.sparkContext
+    for block in asked_blocks(cut(questions(media, decode))):
+        shared = sc.broadcast(block)
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            for whole in batches:
+                for k in range(0, len(whole), 1024):
+                    b = whole.slice(k, 1024)
+                    ids, off = b.column(0).to_numpy(), b.column(1).offsets.to_numpy()
+                    v, off = b.column(1).values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
+                    row = np.repeat(np.arange(len(ids)), np.diff(off))
+                    # Once in each run of equal integers.
+                    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (row[1:] != row[:-1])]) if len(v) else np.zeros(0, np.int64)
+                    best: dict = {}
+                    for r, q, offset in asked.hits(v[first], row[first], first - off[row[first]]):
+                        if asked.ids[q] != ids[r]:
+                            # Places of a query begun within a hop lie between two of its own.
+                            for o in (int(offset), int(offset) - 1):
+                                bits, n = unlike(asked.fps[q], v[off[r] : off[r + 1]], o)
+                                if n >= OVERLAP and bits <= UNLIKE * 32 * n:
+                                    best[q, r] = min(best.get((q, r), (9.0,)), (bits / n, -n, o, bits))
+                    rows = [(int(asked.ids[q]), int(ids[r]), x[2], x[3], -x[1]) for (q, r), x in best.items()]
+                    cols = list(zip(*rows, strict=True)) or [()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], names)
+
+        found = classes.select("class_id", "fp").mapInArrow(compare, schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else classes.sparkSession.createDataFrame([], schema)
 
 
 def search(media: DataFrame, ident: str, column: str, decode: Callable, asked: Column) -> DataFrame:
@@ -241,8 +283,8 @@ def search(media: DataFrame, ident: str, column: str, decode: Callable, asked: C
     # One recording asks for each class: of the smallest id that is asked.
     ids = rows.where(F.coalesce(asked, F.lit(False))).groupBy("key").agg(F.min("id").alias("id")).join(known.select("key", "class_id"), "key").select("id", F.col("class_id").alias("query_id"))
     own = media.select(F.col(ident).cast("long").alias("id"), F.col(column).alias("media")).where(F.coalesce(asked, F.lit(False))).join(ids, "id")
-    own = own.groupBy("query_id").agg(F.first("media").alias("media"))
-    pairs = aligned(known, own, decode)
+    own = own.groupBy("query_id").agg(F.first("media").alias("media")).join(known.select(F.col("class_id").alias("query_id"), "fp"), "query_id")
+    pairs = aligned(known.select("class_id", "fp"), own, decode)
     member = rows.select("id", "key", F.size("fp").cast("long").alias("places")).join(classes.select("key", "class_id"), "key")
     null = F.lit(None)
     return member.select("id", "class_id", "places", null.cast("long").alias("match_id"), null.cast("int").alias("offset"), null.cast("long").alias("unlike_bits")).unionByName(

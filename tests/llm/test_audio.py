@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import audio
@@ -56,7 +57,9 @@ def damaged():
     return [(k, (np.clip(x / 4, -1, 1) * 30000).astype("<i2").tobytes()) for k, x in enumerate(out)]
 
 
-def test_recall_on_damaged_copies(spark):
+@pytest.mark.parametrize("block", [1 << 21, 5000])
+def test_recall_on_damaged_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(audio, "PROBES", block)
     rows = damaged()
     media = spark.createDataFrame(rows, "k long, audio binary").repartition(8)
     got = {(r.id, r.match_id): r.offset for r in audio.search(media, "k", "audio", audio.pcm16, F.col("id") >= 0).collect() if r.match_id is not None}
