@@ -37,7 +37,7 @@ MOST = 24
 LONGS = 8
 VERIFY = 1 / 16
 #: Bytes of text whose shingles are counted in one group.
-PART = 64 << 20
+PART = 32 << 20
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

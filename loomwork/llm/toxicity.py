@@ -142,8 +142,8 @@ class Landmarks:
         held = [(k, p) for k, w in enumerate(plain(words)) if len(w) >= ORDER for p in pieces(w)]
         rows, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.strings)), np.float32)]
         held.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(held), 4000):
-            part = held[i : i + 4000]
+        for i in range(0, len(held), 1000):
+            part = held[i : i + 1000]
             chars = codes([p for _, p in part])
             at = np.flatnonzero((self.common(chars) >= self.need).any(1))
             if len(at):
