@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.words import LOOSE, blocks, mix, raw, tokens
+from loomwork.llm.words import LOOSE, blocks, mix, raw, tokens, trimmed
 
 SEEDS = 1 << 20
 #: Items met at once.
@@ -176,7 +176,7 @@ def aligned(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
                 cols = list(zip(*rows, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score"])
 
-        found = docs.mapInArrow(compare, "doc_id long, item_id long, score double")
+        found = docs.mapInArrow(trimmed(compare), "doc_id long, item_id long, score double")
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double")
 
@@ -193,7 +193,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                 clean[[r for r, _, _ in matches(x.column(at), shared.value, threshold)]] = False
                 yield x.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(trimmed(keep), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.lookup import finish, frequent
-from loomwork.llm.words import U, blocks, mix, raw, row_keys, tokens
+from loomwork.llm.words import U, blocks, mix, raw, row_keys, tokens, trimmed
 from loomwork.session import cut
 
 BITS = 1 << 30
@@ -162,7 +162,7 @@ def train(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
 
     schema = "shard int, kind int, keys binary, counts binary"
     merged = "shard int, n_tokens long, n_words long, words binary, counts binary, bits long, part binary"
-    return cut(docs.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(merge, merged)), shards
+    return cut(docs.select("text").mapInArrow(trimmed(count), schema).groupBy("shard").applyInArrow(merge, merged)), shards
 
 
 def filters(trained: DataFrame, shards: int, bits: int = BITS) -> Iterator[Filter]:
@@ -275,10 +275,10 @@ def score(docs: DataFrame, training: DataFrame, bits: int = BITS, hot_keys: int
     for part in filters(trained, shards, bits):
         if shared is not None:
             # Written, so that only one block of the filter is in a worker's memory.
-            docs = cut(docs.mapInArrow(probe(shared), "doc_id long, text string, levels binary"))
+            docs = cut(docs.mapInArrow(trimmed(probe(shared)), "doc_id long, text string, levels binary"))
             shared.unpersist()
         shared = sc.broadcast(part)
-    rows = docs.mapInArrow(final(shared), schema)
+    rows = docs.mapInArrow(trimmed(final(shared)), schema)
     c = F.coalesce("c", F.lit(0))
     out = finish(rows, words, "word", ["n_tokens", "known", "held_base", "score"], {"more": (c > 0).cast("long"), "base": F.log10((c + 0.5) / F.lit(norm))})
     return out.select("doc_id", "n_tokens", (F.col("known") + F.col("more").cast("long")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("held_base") + F.col("base")).alias("base_score"), "score")

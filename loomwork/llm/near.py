@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.words import U, blocks, mix, raw, shingles, tokens
+from loomwork.llm.words import U, blocks, give_back, mix, raw, shingles, tokens, trimmed
 from loomwork.operators.graph import components
 from loomwork.session import cut
 
@@ -38,6 +38,8 @@ LONGS = 8
 VERIFY = 1 / 16
 #: Bytes of text whose shingles are counted in one group.
 PART = 32 << 20
+#: Bytes of text taken at once.
+STEP = 1 << 20
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,13 +66,13 @@ def with_signatures(docs: DataFrame, k: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = raw(b.column(names.index("text")))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, STEP):
                 _, _, size, sig = sets_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(size), pa.array(sig.view(np.int64), mask=size == 0)], [*names, "__n", "__sig"])
 
     from pyspark.sql.types import LongType, StructType
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields]).add("__n", LongType()).add("__sig", LongType()))
+    return docs.mapInArrow(trimmed(add), StructType([*docs.schema.fields]).add("__n", LongType()).add("__sig", LongType()))
 
 
 def parity(tok: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             data, off = raw(b.column(0))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, 2 * STEP):
                 h, row, size, sig = sets_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 new = np.zeros(hi - lo, bool)
                 for i in np.flatnonzero(size):
@@ -121,6 +123,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "shingles", "sigs", "sizes", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
+        give_back()
         tok = joined(group["shingles"], U)
         counts = joined(group["counts"], np.uint32)
         sig, size = np.repeat(joined(group["sigs"], U), counts), np.repeat(joined(group["sizes"], np.uint32), counts)
@@ -145,6 +148,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["to", "shingles", "dfs", "sigs", "sizes", "counts"])
 
     def prefixes(group: pa.Table) -> pa.Table:
+        give_back()
         tok, df, counts = joined(group["shingles"], U), joined(group["dfs"], np.uint32), joined(group["counts"], np.uint32)
         sig, size = np.repeat(joined(group["sigs"], U), counts), np.repeat(joined(group["sizes"], np.uint32), counts).astype(np.int64)
         order = np.lexsort((tok, df, sig))
@@ -164,7 +168,7 @@ def active_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 c.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["sig", "n", "ell", "prefix", "first", "held", "mass", "bits", "tokens"])
 
-    blobs = docs.select("text").mapInArrow(scatter, "part int, shingles binary, sigs binary, sizes binary, counts binary")
+    blobs = docs.select("text").mapInArrow(trimmed(scatter), "part int, shingles binary, sigs binary, sizes binary, counts binary")
     shared = blobs.groupBy("part").applyInArrow(count, "to int, shingles binary, dfs binary, sigs binary, sizes binary, counts binary")
     return cut(shared.groupBy("to").applyInArrow(prefixes, "sig long, n long, ell int, prefix array<long>, first int, held long, mass double, bits array<long>, tokens binary"))
 
@@ -181,7 +185,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = pa.array(den * common >= num * (x.column(2).to_numpy() + x.column(3).to_numpy() - common))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(common)], ["a", "b", "common"]).filter(keep)
 
-    return both.mapInArrow(overlap, "a long, b long, common long")
+    return both.mapInArrow(trimmed(overlap), "a long, b long, common long")
 
 
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from loomwork.llm.words import U, blocks, hashes, mix, raw, spans
+from loomwork.llm.words import U, blocks, hashes, mix, raw, spans, trimmed
 from loomwork.session import cut
 
 KINDS = ("email", "ip", "card", "phone", "ctx")
@@ -46,6 +46,8 @@ SHARE = 0.05
 SMOOTH = 1.0
 KEY = 32
 LIMIT = 1 << 20
+#: Bytes of text taken at once.
+STEP = 1 << 20
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A run of digits that fails from its start fails from within too, so runs are tried from their starts alone.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -126,7 +128,7 @@ class Tokens:
 def _texts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of whole texts: number of the first row, bytes, starts."""
     data, off = raw(b.column(at))
-    for i, j in blocks(off):
+    for i, j in blocks(off, STEP):
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
@@ -162,7 +164,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 parts.append((np.unique(np.array([k for k in at if k >= 0], np.int64)), t))
             yield _edges(parts)
 
-    return merged(docs.select("text").mapInArrow(find, EDGE))
+    return merged(docs.select("text").mapInArrow(trimmed(find), EDGE))
 
 
 def over_blocks(docs: DataFrame, values: DataFrame, schema: str, gather) -> DataFrame:
@@ -174,7 +176,7 @@ def over_blocks(docs: DataFrame, values: DataFrame, schema: str, gather) -> Data
             for b in batches:
                 yield gather([(Tokens(data, off), part.value) for _, data, off in _texts(b, 0)])
 
-        found = docs.select("text").mapInArrow(find, schema)
+        found = docs.select("text").mapInArrow(trimmed(find), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -298,7 +300,7 @@ def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
         return find
 
     for k, part in enumerate(parts):
-        docs = docs.mapInArrow(step(part, k == 0, k == len(parts) - 1), schema)
+        docs = docs.mapInArrow(trimmed(step(part, k == 0, k == len(parts) - 1)), schema)
     return docs
 
 
@@ -341,7 +343,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(out, b.column(text_at).type), *b.columns[text_at + 1 : len(names)]], names)
 
-    return with_spans(docs, free_name(names, "spans")).mapInArrow(mask, schema)
+    return with_spans(docs, free_name(names, "spans")).mapInArrow(trimmed(mask), schema)
 
 
 def number(kind: int) -> Column:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.words import trimmed
+
 ORDER, DECAY = 4, 0.65
 SAMPLE = 1500
 LANDMARKS = 48
@@ -334,8 +336,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     # The bounded sample is one task's work on an executor; the driver gets landmarks and weights, some kilobytes.
     schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("toxic", pa.int32())])
-    rows = taken.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(sets, "doc_id long, words string, toxic int")
-    fitted = rows.repartition(1).mapInArrow(fit, "model binary").head()
+    rows = taken.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(trimmed(sets), "doc_id long, words string, toxic int")
+    fitted = rows.repartition(1).mapInArrow(trimmed(fit), "model binary").head()
     return pickle.loads(fitted["model"]) if fitted else Model([], np.zeros(0, bool))
 
 
@@ -354,10 +356,10 @@ def add_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 part = b.slice(lo, 256)
                 score = model.scores([words_of(x.as_py() or "") for x in part.column(at)], known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, name])
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(trimmed(add), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 THRESHOLD = 0.3
