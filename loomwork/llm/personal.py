@@ -11,8 +11,9 @@ before it, in lower case, with what stands between it and the instance (``=`` or
    instances. An instance is told apart by its token and the two after it, so copies count once.
 3. Spark scores the graph in rounds: a pattern is worth the mean of its instances' scores (smoothed, so that
    patterns of few instances are worth less), an instance what its token's patterns make likely (noisy or; seeds stay at 1).
-4. Tokens that score ``CONFIDENT`` are seeds of the next round, whose contexts induce further patterns, until
-   a round brings none, at most ``ROUNDS`` times.
+4. Tokens that score ``CONFIDENT``, and of whose places, all counted, at least the share ``OWN`` are behind confident
+   patterns (which ordinary words are not), are seeds of the next round, whose contexts induce further patterns, until
+   a round brings none, at most ``ROUNDS`` times. A round so adds at most 1 / ``OWN`` times the places behind such patterns.
 
 What follows a pattern of high confidence becomes a span of kind ``ctx`` unless it meets a base span.
 Patterns are broadcast in blocks of about ``LIMIT``, each with a pass of its own.
@@ -43,6 +44,7 @@ ROUNDS = 3
 CONFIDENT = 0.7
 SUPPORT = 3
 SHARE = 0.05
+OWN = 0.2
 SMOOTH = 1.0
 KEY = 32
 LIMIT = 1 << 20
@@ -153,28 +155,28 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for i, data, off in _texts(b, 0):
+            # A block at a time: the tokens of a whole batch take several times its bytes.
+            for _, data, off in _texts(b, 0):
                 t = Tokens(data, off)
                 at = [k for k in np.flatnonzero(t.ends - t.starts >= KEY) if _KEY.fullmatch(data[t.starts[k] : t.ends[k]].tobytes())]
                 for r in range(len(off) - 1):
                     text = data[off[r] : off[r + 1]].tobytes().decode()
                     for s, _, _ in base_spans(text):
                         at.append(int(np.searchsorted(t.starts, off[r] + len(text[:s].encode()), "right")) - 1)
-                parts.append((np.unique(np.array([k for k in at if k >= 0], np.int64)), t))
-            yield _edges(parts)
+                yield _edges([(np.unique(np.array([k for k in at if k >= 0], np.int64)), t)])
 
     return merged(docs.select("text").mapInArrow(trimmed(find), EDGE))
 
 
 def over_blocks(docs: DataFrame, values: DataFrame, schema: str, gather) -> DataFrame:
-    """What ``gather`` ([(Tokens, sorted values)]) makes of each batch of texts, over all values in blocks."""
+    """What ``gather`` ([(Tokens, sorted values)]) makes of each block of texts, over all values in blocks."""
     out = None
     for part in in_blocks(values):
 
         def find(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield gather([(Tokens(data, off), part.value) for _, data, off in _texts(b, 0)])
+                for _, data, off in _texts(b, 0):
+                    yield gather([(Tokens(data, off), part.value)])
 
         found = docs.select("text").mapInArrow(trimmed(find), schema)
         out = found if out is None else out.unionByName(found)
@@ -191,15 +193,27 @@ def leading(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return merged(over_blocks(docs, tokens, EDGE, lambda parts: _edges([(np.flatnonzero(member(t.hash, w)), t) for t, w in parts])))
 
 
-def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, places: how often each stands."""
+def tallied(docs: DataFrame, values: DataFrame, of) -> DataFrame:
+    """The column of ``values`` and places: how often each stands among the hashes that ``of`` takes from Tokens."""
+    name = values.columns[0]
 
     def tally(parts: list[tuple[Tokens, np.ndarray]]) -> pa.RecordBatch:
-        found = [x[member(x, w)] for t, w in parts for x in (t.one, t.two)]
+        found = [x[member(x, w)] for t, w in parts for x in of(t)]
         x, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], [name, "n"])
+
+    return over_blocks(docs, values, f"{name} long, n long", tally).groupBy(name).agg(F.sum("n").alias("places"))
+
+
+def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, places: how often each stands."""
+    return tallied(docs, patterns, lambda t: (t.one, t.two))
+
 
-    return over_blocks(docs, patterns, "pattern long, n long", tally).groupBy("pattern").agg(F.sum("n").alias("places"))
+def own_tokens(docs: DataFrame, tokens: DataFrame, edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Of ``tokens`` those that stand behind ``patterns`` often enough; a place behind two of them counts twice."""
+    behind = edges.join(patterns.select("pattern"), "pattern", "left_semi").groupBy("token").agg(F.sum("n").alias("behind"))
+    return tokens.join(behind, "token").join(tallied(docs, tokens, lambda t: (t.hash,)), "token").where(F.col("behind") >= OWN * F.col("places")).select("token")
 
 
 def in_blocks(values: DataFrame, limit: int | None = None) -> list:
@@ -233,6 +247,9 @@ def confident_patterns(docs: DataFrame) -> DataFrame:
         patterns = cut(patterns.join(support, "pattern").where(F.col("confidence") >= CONFIDENT))
         # Tokens that confident patterns lead to, and that were not seeds yet.
         new = cut(tokens.where(F.col("likely") >= CONFIDENT).select("token").join(known.select("token"), "token", "left_anti"))
+        if new.isEmpty():
+            return patterns
+        new = cut(own_tokens(docs, new, edges, patterns))
         if new.isEmpty():
             return patterns
         known = cut(merged(known.unionByName(leading(docs, new))))

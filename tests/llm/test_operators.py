@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwork.llm import chat, decontaminate, lm, mixing, near, personal, token_counts, toxicity
@@ -165,6 +166,23 @@ def test_contexts_spread_through_what_they_found(spark):
     assert [rows[42][s.start : s.end] for s in got[42]] == ["stranger-7"]
 
 
+def test_an_ordinary_word_in_a_context_is_no_seed(spark, monkeypatch):
+    asked, leading = [], personal.leading
+    monkeypatch.setattr(personal, "leading", lambda docs, new: asked.append(new.count()) or leading(docs, new))
+    rows = [f"mail: a{i}@b.org ." for i in range(30)] + ["mail: the ."] + [f"p{i} of the q{i}" for i in range(200)]
+    got = {r.doc_id: r.spans for r in personal.with_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    # Before, all places of "the" were edges of the next round.
+    assert asked == [] and not any(got[31 + i] for i in range(200))
+
+
+def test_tokens_of_one_block_are_held_at_a_time(spark):
+    # Three texts of more than a block each, in one batch; before, all were held at once.
+    docs = spark.createDataFrame([("word " * (personal.STEP // 4),)] * 3, "text string").coalesce(1)
+    gather = lambda parts: pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], ["n"])
+    values = spark.createDataFrame([(1,)], "pattern long")
+    assert [r.n for r in personal.over_blocks(docs, values, "n long", gather).collect()] == [1, 1, 1]
+
+
 def test_personal_data_of_an_empty_table(empty):
     assert personal.with_spans(empty).collect() == [] and personal.redact(empty).collect() == []
 
