@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.lookup import finish, frequent
-from loomwork.llm.words import raw, row_keys
+from loomwork.llm.words import raw, row_keys, trimmed
 from loomwork.session import cut
 
 HOT_KEYS = 1 << 17
@@ -67,11 +68,17 @@ class Splitter:
         return [len(e) for e in self.own.encode_batch_fast(pre, add_special_tokens=False)]
 
 
+@lru_cache(1)
+def splitter(path: str) -> Splitter:
+    """One for all tasks of a worker; a vocabulary read by every task leaves its memory in pieces."""
+    return Splitter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs`` (doc_id, text)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Splitter(path)
+        s = splitter(path)
         seen: Counter = Counter()
         for b in batches:
             for x in b.column(0):
@@ -83,19 +90,19 @@ def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre", "n"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Splitter(path)
+        s = splitter(path)
         for b in batches:
             n = [x for i in range(0, len(b), 1000) for x in s.pieces(b.column(0)[i : i + 1000].to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["pre", "n", "pieces"])
 
-    seen = docs.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-    table = cut(seen.mapInArrow(pieces, "pre string, n long, pieces long"))
+    seen = docs.select("text").mapInArrow(trimmed(gather), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    table = cut(seen.mapInArrow(trimmed(pieces), "pre string, n long, pieces long"))
     hot = frequent(table.where(F.length("pre") <= HOT_CHARS), "n", hot_keys).select("pre", "pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["pre"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
     schema = "row_key long, doc_id long, pre string, times long, n_bytes long, held long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, pieces_of = Splitter(path), known.value
+        s, pieces_of = splitter(path), known.value
         for b in batches:
             ids = b.column(0)
             data, off = raw(b.column(1))
@@ -120,7 +127,7 @@ def count_tokens(docs: DataFrame, path: str, hot_keys: int = HOT_KEYS) -> DataFr
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row_key", "doc_id", "pre", "times", "n_bytes", "held"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(count), schema)
     out = finish(rows, table.select("pre", "pieces"), "pre", ["n_bytes", "held"], {"rest": F.coalesce("pieces", F.lit(0))})
     return out.select("doc_id", "n_bytes", (F.col("held") + F.col("rest").cast("long")).alias("n_tokens"))
 

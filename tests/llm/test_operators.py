@@ -198,6 +198,13 @@ def test_token_counts_are_the_library_s(docs, rows, empty):
     assert token_counts.count_tokens(empty, path).collect() == []
 
 
+def test_a_worker_reads_its_vocabulary_once():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.splitter(path) is token_counts.splitter(path)
+
+
 def test_language_model_matches_counts_read_as_levels(docs, rows, empty):
     train = docs.where(lm.remainder(docs.doc_id, 5) != 1)
     by_id = lambda df: sorted(df.collect(), key=lambda r: r.doc_id)
