@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import residual
 from loomwork.operators.decomposition import PCA, mapped
-from loomwork.operators.residual import matrix, sums_of
-from loomwork.session import cut
+from loomwork.operators.residual import all_rows, matrix, sums_of
+from loomwork.session import stored
 
 CONTRASTS = ("jade", "picard")
 #: Features whose products are formed at once.
 CHUNK = 1024
 #: Doubles of a whitened block that one task may hold; larger ones are passed over for every step of the likelihood.
-HELD = 1 << 23
+HELD = 1 << 24
 
 
 # ------------------------------------------------------------------ moments
@@ -186,16 +186,21 @@ class Likelihood:
 
 
 def _likelihood(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-    y = z @ w.T
-    psi, a = np.tanh(y), np.abs(y)
-    return np.c_[psi.T @ y, (1 - psi**2).sum(0), (a + np.log1p(np.exp(-2 * a)) - np.log(2)).sum(0)]
+    total = np.zeros((len(w), len(w) + 2))
+    for k in range(0, len(z), CHUNK):
+        y = z[k : k + CHUNK] @ w.T
+        psi, a = np.tanh(y), np.abs(y)
+        total += np.c_[psi.T @ y, (1 - psi**2).sum(0), (a + np.log1p(np.exp(-2 * a)) - np.log(2)).sum(0)]
+    return total
 
 
 def likelihood_of(block: DataFrame, width: int, k: np.ndarray, mean: np.ndarray, n: int) -> Callable[[np.ndarray], Likelihood]:
     """The likelihood as a function of W. A block of at most HELD doubles is one array; a larger one is passed over each time."""
     held = None
     if n * width <= HELD:
-        held = (np.array([r[0] for r in block.select("vec").toLocalIterator()]).reshape(-1, width) - mean) @ k.T
+        held = all_rows(block, n, width)
+        for i in range(0, n, CHUNK):
+            held[i : i + CHUNK] = (held[i : i + CHUNK] - mean) @ k.T
 
     def at(w: np.ndarray) -> Likelihood:
         if held is not None:
@@ -334,7 +339,7 @@ def numbered(components: DataFrame) -> DataFrame:
     """A block over features with their places in the order of features."""
     from loomwork.operators.rank import ranked
 
-    return cut(ranked(components, "feature", name="j"))
+    return stored(ranked(components, "feature", name="j"))
 
 
 def skewness_and_scale(block: DataFrame, width: int, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,7 +395,7 @@ def gica(found: PCA, n_comps: int | None = None, contrast: str = "jade", max_swe
         raise ArithmeticError(f"maps to activities and loadings are not inverse ({error:.1e})")
     kurtosis = np.einsum("ia,ib,ic,id,abcd->i", w, w, w, w, cumulants, optimize=True)
     return GICA(
-        activities=cut(shifted(scores, -score_mean, to_activity, "cell")), loadings=cut(mapped(components, to_source.T, "feature")), sources=cut(shifted(components, -whole.m1, (w @ k).T, "feature")),
+        activities=stored(shifted(scores, -score_mean, to_activity, "cell")), loadings=stored(mapped(components, to_source.T, "feature")), sources=stored(shifted(components, -whole.m1, (w @ k).T, "feature")),
         contrast=contrast, rotation=w, whitening=k, unwhitening=k_inverse, mean=whole.m1, scale=scale, sign=sign, score_to_activity=to_activity, feature_to_source=to_source,
         excess_kurtosis=kurtosis, score_covariance=score_moments, cumulants=cumulants, span=found, n_features=int(whole.n), reconstruction_error=error,
         record={**fit.record, "criterion": fit.criterion, "n_comps": m, "eigenvalues": values.tolist(), "max_sweeps": max_sweeps, "threshold_given": threshold, "seed": seed, "max_iter": max_iter, "tol": tol},
