@@ -196,13 +196,27 @@ def leading(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 def tallied(docs: DataFrame, values: DataFrame, of) -> DataFrame:
     """The column of ``values`` and places: how often each stands among the hashes that ``of`` takes from Tokens."""
     name = values.columns[0]
+    return tallies(docs, values, of).groupBy(name).agg(F.sum("n").alias("places"))
 
-    def tally(parts: list[tuple[Tokens, np.ndarray]]) -> pa.RecordBatch:
-        found = [x[member(x, w)] for t, w in parts for x in of(t)]
-        x, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], [name, "n"])
 
-    return over_blocks(docs, values, f"{name} long, n long", tally).groupBy(name).agg(F.sum("n").alias("places"))
+def tallies(docs: DataFrame, values: DataFrame, of) -> DataFrame:
+    """The same task by task: the column of ``values`` and n."""
+    name, out = values.columns[0], None
+    for part in in_blocks(values):
+
+        def tally(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            # One count per value and task: a row per block of text would be as many as values times blocks.
+            n = np.zeros(len(part.value), np.int64)
+            for b in batches:
+                for _, data, off in _texts(b, 0):
+                    for x in of(Tokens(data, off)):
+                        np.add.at(n, np.searchsorted(part.value, x[member(x, part.value)]), 1)
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(part.value[seen].view(np.int64)), pa.array(n[seen])], [name, "n"])
+
+        found = docs.select("text").mapInArrow(trimmed(tally), f"{name} long, n long")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -183,6 +183,16 @@ def test_tokens_of_one_block_are_held_at_a_time(spark):
     assert [r.n for r in personal.over_blocks(docs, values, "n long", gather).collect()] == [1, 1, 1]
 
 
+def test_places_are_counted_once_a_task(spark):
+    """Not once for every block of a task's texts."""
+    docs = spark.createDataFrame([("alpha beta " * 100_000,)] * 3, "text string").coalesce(1)
+    word = np.frombuffer(b"alpha beta", np.uint8)
+    two = personal.Tokens(word, np.array([0, 10])).hash.view(np.int64).tolist()
+    values = spark.createDataFrame([(h,) for h in [*two, 5]], "token long")
+    got = personal.tallies(docs, values, lambda t: (t.hash,)).collect()
+    assert sorted(map(tuple, got)) == sorted((h, 300_000) for h in two)
+
+
 def test_personal_data_of_an_empty_table(empty):
     assert personal.with_spans(empty).collect() == [] and personal.redact(empty).collect() == []
 
